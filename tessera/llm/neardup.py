@@ -138,9 +138,20 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
 
 def _across(members: DataFrame, percent: int, k: int) -> DataFrame:
     """Links between different components among the members (bucket, n, rep, comp, text) of each bucket, block by block."""
-    blocks = members.withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    spread = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    spread = spread.select("bucket", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "rep", "comp", "text")
+    # the members of a bucket's largest component are held against the others only, which alone are held against each other
+    size = members.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+    main = size.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("in_main"), F.sum("c").alias("all"))
+    blocks = members.join(main, "bucket").withColumn("inner", F.col("comp") == F.col("main"))
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    blocks = blocks.withColumn("nm", parts(F.col("in_main"))).withColumn("nr", parts(F.col("all") - F.col("in_main")))
+    blocks = blocks.withColumn("blk", F.pmod(F.xxhash64("rep"), F.when(F.col("inner"), F.col("nm")).otherwise(F.col("nr"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    # i: a block of the largest component (from -1 down) or of the rest; j: a block of the rest
+    with_main = F.transform(upto(F.col("nm")), lambda o: F.struct((-1 - o).alias("i"), F.col("blk").alias("j")))
+    with_rest = F.transform(upto(F.col("nr")), lambda o: F.struct(F.least("blk", o).alias("i"), F.greatest("blk", o).alias("j")))
+    of_main = F.transform(upto(F.col("nr")), lambda o: F.struct((-1 - F.col("blk")).alias("i"), o.alias("j")))
+    spread = blocks.withColumn("at", F.explode(F.when(F.col("inner"), of_main).otherwise(F.concat(with_main, with_rest))))
+    spread = spread.select("bucket", "at.i", "at.j", "rep", "comp", "text")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["rep", "text"])
@@ -186,10 +197,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     bands = uniq.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = bands.groupBy("band", "key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1")
     star = cut(bands.join(shared, ["band", "key"]).where("a != rep").select("a", F.col("rep").alias("b")).distinct())
+    ids = star.select(F.explode(F.array("a", "b")).alias("id")).distinct()  # grows with the corpus: never broadcast
+    texts = cut(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids.hint("merge"), "id", "left_semi"))
     star = cut(agreeing(star, uniq.groupBy("rep").agg(F.min("sig").alias("sig")), percent))
-    texts = lambda ids: docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
-    ids = star.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    links = cut(confirmed(star, texts(ids), percent, k))
+    links = cut(confirmed(star, texts, percent, k))
     comp = cut(components(links))
     # what the smallest ids of the buckets haven't brought together
     named = bands.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
@@ -198,7 +209,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     if not open_.isEmpty():
         members = named.join(open_, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "n", "rep", "comp")
         members = cut(members)
-        with_text = members.join(texts(members.select(F.col("rep").alias("id")).distinct()).withColumnRenamed("id", "rep"), "rep")
+        with_text = members.join(texts.withColumnRenamed("id", "rep"), "rep")
         more = cut(_across(with_text, percent, k))
         if not more.isEmpty():
             comp = cut(components(links.unionByName(more)))
