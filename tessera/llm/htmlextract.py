@@ -45,7 +45,8 @@ class Page:
                 path = "/".join(s[1] for s in stack if s[0] not in _INLINE)
                 region = stack[-1][2] if stack else 1
                 self.blocks.append((path, text, region))
-                self.tokens.extend((path, w) for w in text.split(" "))
+                if region != 2:  # inside an article all words are slot content
+                    self.tokens.extend((path, w) for w in text.split(" "))
 
         for m in _TOKEN.finditer(source or ""):
             tag = m[3]
@@ -148,11 +149,14 @@ def extract(sources: list[str | None], least: int = 3) -> list[str]:
     pages = [Page(s) for s in sources]
     distinct = list({tuple(p.tokens): p for p in pages}.values())
     fixed = template(distinct) if len(distinct) >= least else set()
+    # the main slot: between the article tags that are part of the template; without a template, between any
+    framed = not fixed or any(re.match(r"<(?:article|main)\b|<\S*\bmain\b", w) for _, w in fixed)
+    repeated = any(sum(w.startswith("<article") for _, w in p.tokens) > 1 for p in distinct)  # several articles a page are no root tokens
     out = []
     for p in pages:
-        inside = [b for b in p.blocks if b[2] == 2]
+        inside = [b for b in p.blocks if b[2] == 2] if framed or repeated or len(distinct) < GROUP // 4 else []
         if not inside:
-            inside = [b for b in p.blocks if b[2] == 1 and not all((b[0], w) in fixed for w in b[1].split(" "))]
+            inside = [b for b in p.blocks if b[2] > 0 and not all((b[0], w) in fixed for w in b[1].split(" "))]
         out.append("\n".join(b[1] for b in inside))
     return out
 
