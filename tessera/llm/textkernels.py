@@ -17,6 +17,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
 _MULT = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=U64)
 _powers: dict[str, np.ndarray] = {}
+#: Bytes of text hashed at a time: the work arrays take some 40 bytes for each.
+_AT_ONCE = 1 << 20
 
 
 def _power(kind: str, n: int) -> np.ndarray:
@@ -26,7 +28,7 @@ def _power(kind: str, n: int) -> np.ndarray:
         base[0] = 1
         with np.errstate(over="ignore"):
             got = np.multiply.accumulate(base)
-        if len(got) <= 1 << 23:
+        if len(got) <= 1 << 21:
             _powers[kind] = got
     return got[:n]
 
@@ -44,7 +46,22 @@ def hash_words(texts: list[str | None], sep: np.ndarray = SPACE, prefix: int = 0
 
     prefix > 0 gives also hashes of each word's first so many bytes (0 for words not longer than that).
     """
-    parts = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER) for t in texts]
+    runs, held, size = [], [], 0
+    for t in texts:
+        held.append((t or "").encode("utf-8", "surrogatepass").translate(LOWER))
+        size += len(held[-1])
+        if size >= _AT_ONCE:
+            runs.append(_hash_parts(held, sep, prefix))
+            held, size = [], 0
+    runs.append(_hash_parts(held, sep, prefix))
+    if len(runs) == 1:
+        return runs[0]
+    before = np.cumsum([0, *(len(r[0]) for r in runs)])
+    first = np.concatenate([*(r[1][:-1] + at for r, at in zip(runs, before)), before[-1:]])
+    return (np.concatenate([r[0] for r in runs]), first, *([np.concatenate([r[2] for r in runs])] if prefix else []))
+
+
+def _hash_parts(parts: list[bytes], sep: np.ndarray, prefix: int) -> tuple:
     ends = np.cumsum([len(p) + 1 for p in parts]) if parts else np.zeros(0, dtype=np.int64)
     buf = np.frombuffer(b"\n".join(parts) + b"\n", dtype=np.uint8) if parts else np.zeros(1, dtype=np.uint8)
     gap = sep[buf]
