@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, tune
-from .textkernels import LOWER
+from .textkernels import LOWER, tidy
 
 LANGUAGES = ("de", "en", "es", "fr")
 BITS = 16
@@ -50,7 +50,7 @@ def fit(texts: DataFrame, languages: tuple[str, ...] = LANGUAGES, per_language:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), lang, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["l", "bucket", "n"])
 
     rows = texts.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "id")  # ids: at most languages * per_language rows
-    got = rows.select("l", "text").mapInArrow(run, "l int, bucket int, n double").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.select("l", "text").mapInArrow(tidy(run), "l int, bucket int, n double").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full((len(languages), 1 << BITS), 0.05)
     np.add.at(counts, (got.column("l").to_numpy(), got.column("bucket").to_numpy()), got.column("n").to_numpy())
     return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
@@ -78,7 +78,7 @@ def evidence(rows: DataFrame, key: str, text: Column, declared: Column, suffix:
     said = F.when(two.isin(*languages), two).when(two == "", "none").otherwise("other")
     base = rows.select(F.col(key), text.cast("string").alias("text"), said.alias("declared"), F.coalesce(suffix.cast("string"), F.lit("")).alias("suffix"), F.coalesce(host.cast("string"), F.lit("")).alias("host"))
     kind = dict(base.dtypes)[key]
-    out = base.mapInArrow(run, f"{key} {kind}, declared string, suffix string, host string, units long, " + ", ".join(f"t{j} double" for j in range(n)))
+    out = base.mapInArrow(tidy(run), f"{key} {kind}, declared string, suffix string, host string, units long, " + ", ".join(f"t{j} double" for j in range(n)))
     labels = F.split("host", r"\.")
     return out.withColumn("domain", F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), 2), "."))
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, tune
-from .textkernels import U64, hash_words, mix, sequence_hash, shingles
+from .textkernels import U64, hash_words, mix, sequence_hash, shingles, tidy
 
 BANDS, ROWS = 24, 4
 #: Share of agreeing minima below the similarity asked for, less which no link is expected (over five deviations).
@@ -67,7 +67,7 @@ def profile(docs: DataFrame, k: int = 5) -> DataFrame:
                     sig[i], bands[i] = small[row].tobytes(), keys[row].view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(h1), pa.array(h2), pa.array(n), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "n_shingles", "sig", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), schema)
 
 
 def shingle_set(text: str, k: int = 5) -> np.ndarray:
@@ -92,7 +92,7 @@ def agreeing(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
 
     with_b = pairs.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
     with_a = with_b.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
-    return with_a.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return with_a.select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
@@ -110,7 +110,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
 
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     with_a = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_a.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return with_a.select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, tune
+from .textkernels import tidy
 
 #: The tightest rule on both sides: neither neighbour of the blank is white space under any library's reading.
 _BLANK = re.compile("(?<=[^\\s\u180e]) (?=[^\\s\u180e])")
@@ -38,13 +39,14 @@ def _chunks(text: str) -> list[str]:
 
 
 class ChunkEncoder:
-    """Token ids of texts as little-endian 32-bit bytes, by `tokenizers`, with a bounded cache of blank-led chunks.
+    """Token ids of texts as little-endian 32-bit bytes, by `tokenizers`, with a bounded cache of blank-led chunks: of two
+    generations, what the newer one hasn't used when it is full goes with the older.
 
     In byte-level BPE a token never spans a single blank between two visible characters, other than by starting with it,
     so chunks cut there encode alike wherever they stand. Chunks with other white space are encoded as they are.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
@@ -55,7 +57,7 @@ class ChunkEncoder:
         for token, i in vocab.items():
             self.led[i] = token.startswith("Ġ")
         self.special = [x.content for x in self.t.get_added_tokens_decoder().values()]
-        self.limit, self.seen, self.marks = limit, {}, {}
+        self.limit, self.seen, self.old, self.marks = limit // 2, {}, {}, {}
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -95,8 +97,11 @@ class ChunkEncoder:
         cut_up = [t if any(s in t for s in self.special) else _chunks(t) for t in (t or "" for t in texts)]
         words = {c for p in cut_up if isinstance(p, list) for c in p[1:]}
         missing = [c for c in words if c not in self.seen]
+        self.seen.update((c, self.old[c]) for c in missing if c in self.old)
+        missing = [c for c in missing if c not in self.seen]
         if len(self.seen) + len(missing) > self.limit:
-            self.seen, missing = {}, list(words)
+            self.old = self.seen
+            self.seen = {c: self.old[c] for c in words if c in self.old}
         self._learn(missing)
         get = self.seen.__getitem__
         heads = [p if isinstance(p, str) else p[0] for p in cut_up]
@@ -207,7 +212,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, eos:
             cols = list(zip(*rows)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, eos: int = 2) -> DataFrame:

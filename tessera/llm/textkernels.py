@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 #: A-Z to a-z on UTF-8 bytes, which leaves every other code point alone.
@@ -119,3 +123,18 @@ def sequence_hash(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
             total = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(w)])
             out.append(mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(U64)).view(np.int64))
     return out[0], out[1]
+
+
+def tidy(run: Callable) -> Callable:
+    """run, a function of Arrow batches, that gives freed memory back to the system at the end of its task: a worker lives
+    on through later stages, next to a JVM that needs the room."""
+
+    def out(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # not glibc
+            pass
+
+    return out

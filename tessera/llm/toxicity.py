@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import tune
-from .textkernels import PUNCT, U64, hash_words
+from .textkernels import PUNCT, U64, hash_words, tidy
 
 BITS = 18
 HEAD = 5
@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> tuple[np.
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.int32()))], ["p", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = rows.join(chosen, "doc_id").select("p", "text").mapInArrow(run, "p int, x array<int>").toArrow()
+    got = rows.join(chosen, "doc_id").select("p", "text").mapInArrow(tidy(run), "p int, x array<int>").toArrow()
     flag = got.column("p").to_pylist()
     rows = [x.values.to_numpy() for x in got.column("x")]
     return train([x for x, p in zip(rows, flag) if p], [x for x, p in zip(rows, flag) if not p], (toxic or 0) / n)
@@ -122,7 +122,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), held_out(F.col("doc_id")).alias("held_out"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.7) -> DataFrame:
@@ -140,4 +140,4 @@ def keep(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.
             total = np.concatenate([[0.0], np.cumsum(w[x])])
             yield b.filter(pa.array(total[cuts[1:]] - total[cuts[:-1]] < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
