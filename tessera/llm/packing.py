@@ -211,6 +211,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, eos:
                     start, size, piece = start + size, capacity, piece + 1
             cols = list(zip(*rows)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
+        _encoder(tokenizer).old = {}
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), schema)
 

@@ -131,6 +131,7 @@ def tidy(run: Callable) -> Callable:
 
     def out(batches):
         yield from run(batches)
+        _powers.clear()
         pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL(None).malloc_trim(0)
