@@ -38,7 +38,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, chunks=400_000)  # workers share an executor with what earlier stages left
 
 
 STAGES = [("toxicity", drop_toxic), ("language_id", drop_foreign), ("near_dedup", drop_copies), ("decontamination", drop_contaminated), ("packing", pack)]

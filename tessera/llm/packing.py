@@ -29,6 +29,8 @@ _BLANK = re.compile("(?<=[^\\s\u180e]) (?=[^\\s\u180e])")
 #: White space other than the blank and the newline, and their runs: texts with these are cut by the rule above.
 _OTHER = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"] + ["\u180e"]
 _RUNS = ["  ", "\n\n", " \n", "\n "]
+#: Chunks that a worker's cache holds, both generations together: some 200 bytes each.
+CHUNKS = 2_000_000
 
 
 def _chunks(text: str) -> list[str]:
@@ -46,7 +48,7 @@ class ChunkEncoder:
     so chunks cut there encode alike wherever they stand. Chunks with other white space are encoded as they are.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = CHUNKS):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
@@ -109,13 +111,13 @@ class ChunkEncoder:
         return [h if isinstance(p, str) else h + b"".join(map(get, p[1:])) for h, p in zip(heads, cut_up)]
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[tuple[str, int], ChunkEncoder] = {}
 
 
-def _encoder(path: str) -> ChunkEncoder:
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+def _encoder(path: str, limit: int = CHUNKS) -> ChunkEncoder:
+    if (path, limit) not in _encoders:
+        _encoders[path, limit] = ChunkEncoder(path, limit)
+    return _encoders[path, limit]
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -191,7 +193,7 @@ def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, in
     return segments, bins
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, eos: int = 2) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, eos: int = 2, chunks: int = CHUNKS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, task, rank): one row per piece; rank counts pieces of a length in the task."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
     end = np.array([eos], dtype="<u4").tobytes()
@@ -200,7 +202,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, eos:
         task, seen = TaskContext.get().partitionId(), Counter()
         for b in batches:
             rows = []
-            for doc, raw in zip(b.column(0).to_pylist(), _encoder(tokenizer).encode(b.column(1).to_pylist())):
+            for doc, raw in zip(b.column(0).to_pylist(), _encoder(tokenizer, chunks).encode(b.column(1).to_pylist())):
                 raw += end
                 n = len(raw) // 4
                 start, size = 0, n % capacity or min(n, capacity)
@@ -211,22 +213,23 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, eos:
                     start, size, piece = start + size, capacity, piece + 1
             cols = list(zip(*rows)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
-        _encoder(tokenizer).old = {}
+        _encoder(tokenizer, chunks).old = {}
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), schema)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, eos: int = 2) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, eos: int = 2, chunks: int = CHUNKS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the single end token. Repeated rows are packed each; a null doc_id stays null. An empty table
-    gives no rows. Other columns of docs are ignored, whatever their names.
+    gives no rows. Other columns of docs are ignored, whatever their names. chunks bounds
+    the workers' caches of encoded words; it changes no result.
     """
     import public_tokenizers
 
     spark = docs.sparkSession
     tune(spark)
-    pieces = cut(tokenize_pieces(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), capacity, eos))
+    pieces = cut(tokenize_pieces(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), capacity, eos, chunks))
     per_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     totals = {r.length: r.n for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     segments, _ = plan_bins(totals, capacity)
