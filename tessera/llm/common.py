@@ -38,6 +38,7 @@ def tune(spark: SparkSession) -> None:
     """Keep Arrow batches small, as texts may be very long, and let the workers find this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     found = os.environ.get("PYTHONPATH", "").split(os.pathsep)

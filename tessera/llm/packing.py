@@ -11,6 +11,7 @@ sequence and offset; ranks come from counts per input task, so no length, howeve
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import zlib
 from collections import Counter
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, tune
-from .textkernels import tidy
+from .textkernels import HELD, tidy
 
 #: The tightest rule on both sides: neither neighbour of the blank is white space under any library's reading.
 _BLANK = re.compile("(?<=[^\\s\u180e]) (?=[^\\s\u180e])")
@@ -49,6 +50,7 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str, limit: int = CHUNKS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
@@ -111,7 +113,7 @@ class ChunkEncoder:
         return [h if isinstance(p, str) else h + b"".join(map(get, p[1:])) for h, p in zip(heads, cut_up)]
 
 
-_encoders: dict[tuple[str, int], ChunkEncoder] = {}
+_encoders: dict[tuple[str, int], ChunkEncoder] = HELD.setdefault("packing", {})
 
 
 def _encoder(path: str, limit: int = CHUNKS) -> ChunkEncoder:
@@ -215,7 +217,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, eos:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
         _encoder(tokenizer, chunks).old = {}
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run, "packing"), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, eos: int = 2, chunks: int = CHUNKS) -> DataFrame:

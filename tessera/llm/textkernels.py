@@ -21,6 +21,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
 _MULT = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=U64)
 _powers: dict[str, np.ndarray] = {}
+#: What operators keep in a worker between tasks, by operator.
+HELD: dict[str, dict] = {}
 #: Bytes of text hashed at a time: the work arrays take some 40 bytes for each.
 _AT_ONCE = 1 << 20
 
@@ -125,17 +127,37 @@ def sequence_hash(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
     return out[0], out[1]
 
 
-def tidy(run: Callable) -> Callable:
-    """run, a function of Arrow batches, that gives freed memory back to the system at the end of its task: a worker lives
-    on through later stages, next to a JVM that needs the room."""
+def begin(owner: str | None) -> None:
+    """At the start of a task: drop what other operators keep in this worker, and have glibc return large blocks at once
+    and share two arenas among threads."""
+    for name, kept in HELD.items():
+        if name != owner:
+            kept.clear()
+    try:
+        libc = ctypes.CDLL(None)
+        for option, value in ((-8, 2), (-3, 1 << 20), (-1, 1 << 20)):  # arenas, mmap threshold, trim threshold
+            libc.mallopt(option, value)
+    except AttributeError:  # not glibc
+        pass
+
+
+def release() -> None:
+    """At the end of a task: give freed memory back to the system."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def tidy(run: Callable, owner: str | None = None) -> Callable:
+    """run, a function of Arrow batches, between begin and release: a worker lives on through later stages, next to a JVM
+    that needs the room. Both are named here, not written out: a nested function travels with copies of module globals."""
 
     def out(batches):
+        begin(owner)
         yield from run(batches)
-        _powers.clear()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # not glibc
-            pass
+        release()
 
     return out
