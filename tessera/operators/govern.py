@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import facts as V
+from ..functions import names as N
 from ..functions import text as T
 
 
@@ -77,3 +78,23 @@ def promises_alike(promises: DataFrame) -> DataFrame:
 def promote(parsed: DataFrame, ledger: DataFrame) -> DataFrame:
     """Facts not yet in the ledger, by their origin key."""
     return parsed.join(ledger.select("origin_key"), "origin_key", "left_anti")
+
+
+def reminders(ledger: DataFrame, now: Column) -> DataFrame:
+    """ledger(id, node_id, kind, description, amount, currency, direction, date) -> a follow-up promise for every debt or
+    favor that falls due after now. Without an amount, none is named; without a direction, it counts as owed to us."""
+    due = ledger.where(F.col("kind").isin("debt", "favor_owed") & (F.col("date") > now))
+    money = F.when(F.col("amount").isNotNull(), F.concat(F.lit(" "), T.money(F.col("amount"), F.col("currency")))).otherwise("")
+    mine = F.coalesce(F.col("direction") == "owed_by_me", F.lit(False))
+    wording = F.when(mine, F.concat(F.lit("Return"), money, F.lit(": "), "description")).otherwise(F.concat(F.lit("Follow up on"), money, F.lit(" owed to you: "), "description"))
+    way = F.when(mine, "user_to_other").otherwise("other_to_user")
+    return due.select("id", F.col("node_id").alias("target"), way.alias("direction"), F.substring(wording, 1, 300).alias("description"), F.col("date").alias("due_at"), F.lit("open").alias("status"), F.lit("follow_up").alias("kind"))
+
+
+def name_variants(names: DataFrame, pairs: list[tuple[str, str]] = N.NICKNAMES) -> DataFrame:
+    """names(name), each once -> a, b, fuller: pairs that may be one person's, and the one to keep. Joined on whole first
+    or last parts, which any such pair shares."""
+    keyed = names.select("name", F.explode(N.anchors(F.col("name"))).alias("key"))
+    pair = keyed.select(F.col("name").alias("a"), "key").join(keyed.select(F.col("name").alias("b"), "key"), "key").where("a < b")
+    alike = pair.where(N.name_match(F.col("a"), F.col("b"), pairs) == "variant").select("a", "b").distinct()
+    return alike.withColumn("fuller", F.when(N.fullness(F.col("b")) > N.fullness(F.col("a")), F.col("b")).otherwise(F.col("a")))

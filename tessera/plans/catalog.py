@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import facts as V
 from ..functions import text as T
 from ..operators import govern, lanes, paths, recall, ties
-from ..sources.graph import NOW, Graph, now, windows
+from ..sources import seeds
+from ..sources.graph import NOW, Graph, key, now, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -352,3 +353,43 @@ def text_merge(g: Graph) -> DataFrame:
     d = g.table("benchmark").select("item_id", "text")
     nxt = d.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
     return d.join(nxt, "item_id").select("item_id", T.merge_text(F.col("text"), F.col("other")).alias("merged"))
+
+
+@query("""select id, 'C' || o_custkey as target, case when o_orderpriority = '1-URGENT' then 'user_to_other' else 'other_to_user' end as direction,
+case when o_orderpriority = '1-URGENT' then 'Return $' || m || ': order ' || id else 'Follow up on $' || m || ' owed to you: order ' || id end as description, o_orderdate as due_at, 'open' as status, 'follow_up' as kind
+from (select *, 'O' || o_orderkey as id, cast(cast(floor(o_totalprice) as bigint) as varchar) as m from orders where o_orderdate > timestamp '1998-06-01')""")
+def ledger_reminders(g: Graph) -> DataFrame:
+    due = g.ledger().select("id", "node_id", "kind", F.concat(F.lit("order "), F.col("id")).alias("description"), F.floor("amount").cast("double").alias("amount"), F.lit("USD").alias("currency"), "direction", "date")
+    return govern.reminders(due, _at("1998-06-01 00:00:00"))
+
+
+_FIRST = ["william", "bill", "w.", "Robert", "bob", "anna"]
+
+
+@query("""with n as (select distinct ['william', 'bill', 'w.', 'Robert', 'bob', 'anna'][c_custkey % 6 + 1] || ' ' || c_mktsegment as name from customer),
+p as (select name, string_split(replace(lower(name), '.', ''), ' ') as t from n)
+select a.name as a, b.name as b, case when length(b.t[1]) > 1 and length(a.t[1]) = 1 then b.name else a.name end as fuller from p a join p b on a.name < b.name and a.t[2] = b.t[2]
+where a.t[1] = b.t[1] or least(a.t[1], b.t[1]) || greatest(a.t[1], b.t[1]) in ('billwilliam', 'bobrobert') or (length(a.t[1]) = 1) <> (length(b.t[1]) = 1) and a.t[1][1] = b.t[1][1]""")
+def name_variants(g: Graph) -> DataFrame:
+    first = F.element_at(F.array(*map(F.lit, _FIRST)), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return govern.name_variants(g.table("customer").select(F.concat_ws(" ", first, "c_mktsegment").alias("name")).distinct())
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    cell = lambda v: "null" if v is None else f"'{v}'"
+    return f"(values {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) v({names})"
+
+
+@query(f"select 'C' || c_custkey as user_id, v.* from customer, {_values(seeds.NODE_TYPES, 'name, description')}")
+def seed_node_types(g: Graph) -> DataFrame:
+    return seeds.node_types(g.table("customer").select(key("C", "c_custkey").alias("user_id")))
+
+
+@query(f"select 'C' || c_custkey as user_id, v.* from customer, {_values(seeds.LINK_TYPES, 'name, direction, inverse_name, source_type, target_type')}")
+def seed_link_types(g: Graph) -> DataFrame:
+    return seeds.link_types(g.table("customer").select(key("C", "c_custkey").alias("user_id")))
+
+
+@query(f"select 'C' || c_custkey as user_id, v.* from customer, {_values(seeds.TAGS, 'name, color')}")
+def seed_tags(g: Graph) -> DataFrame:
+    return seeds.tags(g.table("customer").select(key("C", "c_custkey").alias("user_id")))
