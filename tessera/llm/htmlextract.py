@@ -3,8 +3,10 @@
 Pages of a host are taken in groups of bounded size. Tokens (tags and words, told apart by the tags they stand in) that
 occur equally often on each page of a group form an equivalence class. A class is valid if its tokens keep their order on
 all pages; valid classes nest: the class of tokens that occur once on every page is the template, larger vectors repeat
-inside its slots. Blocks of text that consist of template tokens only are boilerplate; slots inside the template's article
-(or, where a page has none, all slots outside navigation, notices and the like) are the main text.
+inside its slots. Blocks of text that consist of template tokens only are boilerplate. Inside articles, where common words
+come and go, the token is the whole block: one that stands on every page of the group that has an article is template too.
+Slots inside the template's article (or, where a page has none, all slots outside navigation, notices and the like) are
+the main text.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ class Page:
                 path = "/".join(s[1] for s in stack if s[0] not in _INLINE)
                 region = stack[-1][2] if stack else 1
                 self.blocks.append((path, text, region))
-                if region != 2:  # inside an article all words are slot content
+                if region != 2:  # inside an article the block is the token
                     self.tokens.extend((path, w) for w in text.split(" "))
 
         for m in _TOKEN.finditer(source or ""):
@@ -143,19 +145,29 @@ def template(pages: list[Page]) -> set[tuple[str, str]]:
     return root
 
 
+def repeats(pages: list[Page], least: int) -> set[tuple[str, str]]:
+    """The blocks (path, text) inside articles that stand on every page that has an article. Pages of one main text count
+    once, so that copies do not make a template of it."""
+    mains = list({tuple(b[:2] for b in p.blocks if b[2] == 2) for p in pages} - {()})
+    return set(mains[0]).intersection(*mains[1:]) if len(mains) >= least else set()
+
+
 def extract(sources: list[str | None], least: int = 3) -> list[str]:
-    """Main texts of a group's pages. Groups of fewer than `least` pages, or of different ones, have no template to go by:
-    then the tags alone decide."""
+    """Main texts of a group's pages. Groups of fewer than `least` different pages have no template to go by: then the tags
+    alone decide."""
     pages = [Page(s) for s in sources]
-    distinct = list({tuple(p.tokens): p for p in pages}.values())
+    distinct = list({(tuple(p.tokens), tuple(p.blocks)): p for p in pages if p.blocks or p.tokens}.values())
     fixed = template(distinct) if len(distinct) >= least else set()
     # the main slot: between the article tags that are part of the template; without a template, between any
     framed = not fixed or any(re.match(r"<(?:article|main)\b|<\S*\bmain\b", w) for _, w in fixed)
     repeated = any(sum(w.startswith("<article") for _, w in p.tokens) > 1 for p in distinct)  # several articles a page are no root tokens
+    again = repeats(distinct, least)
     out = []
     for p in pages:
         inside = [b for b in p.blocks if b[2] == 2] if framed or repeated or len(distinct) < GROUP // 4 else []
-        if not inside:
+        if inside:
+            inside = [b for b in inside if b[:2] not in again]
+        else:
             inside = [b for b in p.blocks if b[2] > 0 and not all((b[0], w) in fixed for w in b[1].split(" "))]
         out.append("\n".join(b[1] for b in inside))
     return out

@@ -214,6 +214,15 @@ def test_main_text(spark):
     assert htmlextract.extract(plain) == [f"Story number{i} told{i}" for i in range(6)]
 
 
+def test_main_text_without_lines_that_all_articles_repeat():
+    lines = ["<p>Read the other stories of the week</p>", "<ul><li>Print the page</li></ul>"]
+    pages = [page(i, f"<article><p>The story {i} of the day</p>{lines[0] * (1 + i % 2)}<p>and the end of {i}</p>{lines[1]}</article>") for i in range(6)]
+    assert htmlextract.extract(pages) == [f"The story {i} of the day\nand the end of {i}" for i in range(6)]
+    # copies of one main text make no template of it
+    copies = [page(i, "<article><p>One and the same story</p></article>") for i in range(6)]
+    assert htmlextract.extract(copies) == ["One and the same story"] * 6
+
+
 def test_fixity(spark):
     rows = [(f"w{i % 3}", (i // 3) * 5000, 5000, f"payload {i}") for i in range(300)]
     a = spark.createDataFrame(rows, "file string, offset long, length long, payload string")
