@@ -5,8 +5,8 @@ occur equally often on each page of a group form an equivalence class. A class i
 all pages; valid classes nest: the class of tokens that occur once on every page is the template, larger vectors repeat
 inside its slots. Blocks of text that consist of template tokens only are boilerplate. Inside articles, where common words
 come and go, the token is the whole block: one that stands on every page of the group that has an article is template too.
-Slots inside the template's article (or, where a page has none, all slots outside navigation, notices and the like) are
-the main text.
+The page's own article (or main) element, or else all outside navigation, notices and the like, less boilerplate, is the
+main text.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .common import tune
 GROUP = 96
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_DIGITS = re.compile(r"\d+")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "dfn", "em", "font", "i", "img", "input", "ins", "del", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr"}
 _OUTSIDE = {"nav", "footer", "aside", "form", "head", "title", "button", "select", "menu", "dialog"}
@@ -92,7 +94,9 @@ class Page:
                 region = 0
             elif region and (tag in ("article", "main") or "main" in names.split()):
                 region = 2
-            named = f"{tag}.{names}" if names else tag
+            # ids, and numbers in classes, are a page's own
+            classes = _DIGITS.sub("0", " ".join(x for k, *g in _NAMED.findall(m[4]) if k.lower() != "id" for x in g if x).lower())
+            named = f"{tag}.{classes}" if classes else tag
             self.tokens.append(("/".join(s[1] for s in stack), "<" + named))
             if tag not in _VOID:
                 stack.append((tag, named, region))
@@ -157,14 +161,12 @@ def extract(sources: list[str | None], least: int = 3) -> list[str]:
     alone decide."""
     pages = [Page(s) for s in sources]
     distinct = list({(tuple(p.tokens), tuple(p.blocks)): p for p in pages if p.blocks or p.tokens}.values())
-    fixed = template(distinct) if len(distinct) >= least else set()
-    # the main slot: between the article tags that are part of the template; without a template, between any
-    framed = not fixed or any(re.match(r"<(?:article|main)\b|<\S*\bmain\b", w) for _, w in fixed)
-    repeated = any(sum(w.startswith("<article") for _, w in p.tokens) > 1 for p in distinct)  # several articles a page are no root tokens
+    bare = any(all(b[2] != 2 for b in p.blocks) for p in distinct)  # only pages without an article need the outer template
+    fixed = template(distinct) if bare and len(distinct) >= least else set()
     again = repeats(distinct, least)
     out = []
     for p in pages:
-        inside = [b for b in p.blocks if b[2] == 2] if framed or repeated or len(distinct) < GROUP // 4 else []
+        inside = [b for b in p.blocks if b[2] == 2]
         if inside:
             inside = [b for b in inside if b[:2] not in again]
         else:

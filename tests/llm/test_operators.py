@@ -223,6 +223,15 @@ def test_main_text_without_lines_that_all_articles_repeat():
     assert htmlextract.extract(copies) == ["One and the same story"] * 6
 
 
+@pytest.mark.parametrize("n", [5, 23, 24, 60])
+def test_main_text_by_one_rule_at_every_group_size(n):
+    body = lambda i: f"<div>By author{i}</div><article id='post-{i}' class='post post-{i}'><p>Story {i}</p><p>Read the other stories</p></article><div>Teaser {i}</div>"
+    assert htmlextract.extract([page(i, body(i)) for i in range(n)]) == [f"Story {i}" for i in range(n)]
+    # nor does one page without an article change the others
+    got = htmlextract.extract([*(page(i, body(i)) for i in range(n)), page(n, "<div>Notes on words</div>"), None])
+    assert got == [*(f"Story {i}" for i in range(n)), "Notes on words", ""]
+
+
 def test_fixity(spark):
     rows = [(f"w{i % 3}", (i // 3) * 5000, 5000, f"payload {i}") for i in range(300)]
     a = spark.createDataFrame(rows, "file string, offset long, length long, payload string")
