@@ -1,8 +1,9 @@
 """License scans by conditional compression.
 
-A candidate block (neighbouring sentences that speak of licenses) is compressed with each template as zstandard raw
-dictionary; templates are ranked by how much smaller that makes it. The winner is confirmed by its exact wording: words
-that differ must be names, dates or version numbers, but for a small share.
+The neighbourhood of each word that speaks of licenses, in a candidate block (neighbouring sentences with such words), is
+compressed with each template as zstandard raw dictionary; templates are ranked by how much smaller that makes it. Those
+that save a material part of their own length are confirmed by their exact wording, in order of rank: words that differ
+must be names, dates or version numbers, but for a small share. The words after a confirmed notice are ranked anew.
 """
 
 from __future__ import annotations
@@ -51,26 +52,16 @@ def blocks(text: str | None) -> list[str]:
     return out
 
 
-def differences(template: str, block: str) -> tuple[list[str], list[str], int]:
-    """Words of the template that the block lacks, words between its matches that it adds, and words in common."""
-    a, b = ([w.lower() for w in _WORD.findall(x)] for x in (template, block))
-    ops = [o for o in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()]
-    same = [i for i, o in enumerate(ops) if o[0] == "equal"]
-    if not same:
-        return a, b, 0
-    lacks = [w for o in ops if o[0] in ("delete", "replace") for w in a[o[1] : o[2]]]
-    adds = [w for o in ops[same[0] : same[-1] + 1] if o[0] in ("insert", "replace") for w in b[o[3] : o[4]]]
-    return lacks, adds, len(a) - len(lacks)
-
-
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         import zstandard as z
 
-        self.plain = z.ZstdCompressor(level=3, write_content_size=False)
         self.templates = templates
-        self.by = {n: z.ZstdCompressor(level=3, write_content_size=False, dict_data=z.ZstdCompressionDict(t.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for n, t in sorted(templates.items())}
-        self.seen: dict[str, tuple] = {}
+        self.reach = 64 + 3 * max(map(len, templates.values())) // 2  # a notice with a word in it ends within this of the word
+        how = z.ZstdCompressionParameters.from_level(3, source_size=4 * self.reach, write_content_size=False)
+        self.plain = z.ZstdCompressor(compression_params=how)
+        self.by = {n: z.ZstdCompressor(compression_params=how, dict_data=z.ZstdCompressionDict(t.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for n, t in sorted(templates.items())}
+        self.seen: dict[str, list] = {}
 
     def rank(self, block: str) -> list[tuple[float, str]]:
         """(share by which the template makes the block smaller, template), the largest first, ties by name."""
@@ -78,22 +69,67 @@ class Scanner:
         base = len(self.plain.compress(raw))
         return sorted(((1 - len(c.compress(raw)) / base, n) for n, c in self.by.items()), key=lambda x: (-x[0], x[1]))
 
-    def judge(self, block: str, least: float = 0.15, share: float = 0.1) -> tuple[str, float, bool]:
-        """(template, reduction, confirmed) of a block."""
+    def place(self, name: str, words: list[str], share: float, last: int) -> tuple[int, int] | None:
+        """Where among the words a notice worded as the template begins, at `last` or before, and ends; None: nowhere."""
+        a = [w.lower() for w in _WORD.findall(self.templates[name])]
+        run, slack = max(1, min(2, len(a)), len(a) // 8), max(4, len(a) // 4)
+        m = difflib.SequenceMatcher(None, a, words, autojunk=False)
+        open_ = [(0, len(words))]
+        while open_:
+            lo, hi = open_.pop()
+            at = m.find_longest_match(0, len(a), lo, hi)
+            if at.size < run:
+                continue
+            low, high = max(0, at.b - at.a - slack), at.b - at.a + len(a) + slack
+            ops = difflib.SequenceMatcher(None, a, words[low:high], autojunk=False).get_opcodes()
+            same = [i for i, o in enumerate(ops) if o[0] == "equal"]
+            lacks = [w for o in ops if o[0] in ("delete", "replace") for w in a[o[1] : o[2]]]
+            adds = [w for o in ops[same[0] : same[-1] + 1] if o[0] in ("insert", "replace") for w in words[low + o[3] : low + o[4]]]
+            odd = [w for w in (*lacks, *adds) if not any(c.isdigit() for c in w)]
+            begin, end = low + ops[same[0]][3], low + ops[same[-1]][4]
+            if begin <= last and len(odd) <= share * max(1, len(a)):
+                return begin, end
+            open_ += [(at.b + at.size, hi), (lo, at.b)]
+        return None
+
+    def notices(self, block: str, least: float = 0.2, share: float = 0.1) -> list[tuple[str, float, bool]]:
+        """(template, reduction, confirmed) of each notice of a block, in order of place. A stretch that speaks of licenses
+        without a confirmed notice counts as one, with the template of its first rank."""
         if block not in self.seen:
             if len(self.seen) > 50_000:
                 self.seen.clear()
-            gain, name = self.rank(block)[0]
-            lacks, adds, common = differences(self.templates[name], block)
-            odd = [w for w in (*lacks, *adds) if not any(c.isdigit() for c in w)]
-            self.seen[block] = (name, gain, gain >= least and len(odd) <= share * max(1, common + len(lacks)))
+            out, at, idle = [], 0, None
+            for c in _CANDIDATE.finditer(block):
+                if c.start() < at:  # in a confirmed notice
+                    continue
+                low = max(at, c.start() - self.reach)
+                part = block[low : c.end() + self.reach]
+                found = [w.span() for w in _WORD.finditer(part)]
+                words = [part[i:j].lower() for i, j in found]
+                last = max((k for k, (i, _) in enumerate(found) if low + i < c.end()), default=0)
+                size, ranked = len(self.plain.compress(part.encode("utf-8", "surrogatepass"))), self.rank(part)
+                for gain, name in ranked:
+                    if gain * size < least * len(self.templates[name].encode()):
+                        continue
+                    span = self.place(name, words, share, last)
+                    if span and low + found[span[1] - 1][1] > c.start():
+                        out += [idle] * (idle is not None) + [(name, gain, True)]
+                        at, idle = low + found[span[1] - 1][1], None
+                        break
+                else:
+                    idle = max(idle or (ranked[0][1], ranked[0][0], False), (ranked[0][1], ranked[0][0], False), key=lambda x: x[1])
+            self.seen[block] = out + [idle] * (idle is not None)
         return self.seen[block]
 
+    def judge(self, block: str) -> tuple[str, float, bool]:
+        """The notice of a block that makes it smallest, confirmed ones first."""
+        return max(self.notices(block), key=lambda x: (x[2], x[1]), default=("", 0.0, False))
+
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, n_blocks, n_confirmed, licenses, reduction for each row of docs(doc_id, text, ...): the confirmed templates
-    in order of name, comma-joined (empty: none), and the largest reduction of a confirmed block (0: none). Null and empty
-    texts have no blocks. Repeated rows are scanned each; extra columns are ignored."""
+    in order of name, comma-joined (empty: none), and the largest reduction by a confirmed one (0: none). A block is a notice,
+    or a part of the text that speaks of licenses without one. Null and empty texts have no blocks. Repeated rows are scanned each; extra columns are ignored."""
     tune(docs.sparkSession)
     chosen = templates or TEMPLATES
 
@@ -102,7 +138,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
         for b in batches:
             rows = []
             for text in b.column(1).to_pylist():
-                got = [scanner.judge(x) for x in blocks(text)]
+                got = [n for x in blocks(text) for n in scanner.notices(x)]
                 sure = [x for x in got if x[2]]
                 rows.append((len(got), len(sure), ",".join(sorted({x[0] for x in sure})), max((x[1] for x in sure), default=0.0)))
             cols = list(zip(*rows)) or [[]] * 4

@@ -163,6 +163,17 @@ def test_licenses(spark):
         assert s.rank(t)[0][1] == name and s.judge(t)[2]
 
 
+def test_licenses_finds_every_notice_of_a_block(spark):
+    t = licenses.TEMPLATES
+    six = ["MIT", "CC-BY-NC-4.0", "GPL-3.0", "BSD", "CC-BY-SA-4.0", "Apache-2.0-notice"]
+    long = "the licensed geese " + text(600)
+    docs = [(1, f"{t['MIT']} {t['CC-BY-NC-4.0']}"), (2, " ".join(t[n] for n in six)), (3, f"{text(40)} released under the MIT License."), (4, f"{long} {t['ISC']} and {long}")]
+    docs.append((5, f"A license to hunt geese was sold. {t['MIT']} {t['MIT']}"))
+    got = {r.doc_id: (r.n_blocks, r.n_confirmed, r.licenses) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1] == (2, 2, "CC-BY-NC-4.0,MIT") and got[2] == (6, 6, ",".join(sorted(six)))
+    assert got[3] == (1, 1, "MIT") and got[4] == (3, 1, "ISC") and got[5] == (3, 2, "MIT")
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 16))
