@@ -1,6 +1,7 @@
 """Language ID by Bayesian evidence fusion: text likelihood x declared language x address suffix x host prior.
 
-The text model is multinomial over hashed byte trigrams. How far declarations and suffixes can be trusted, and which
+The text model is multinomial over hashed byte trigrams that hold a letter. Text in none of the languages is a class of its
+own, with all trigrams alike: a language must explain a text better than that. How far declarations and suffixes can be trusted, and which
 languages hosts publish in, is counted over all rows by grouped aggregation, with the text's own verdict as the class;
 host priors shrink to their domain's, domains' to the whole table's.
 """
@@ -28,7 +29,9 @@ def trigrams(text: str | None) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     a = np.frombuffer(b" " + raw + b" ", dtype=np.uint8).astype(np.uint32)
     a = np.where((a >= 48) & (a <= 57), 48, a)
-    return (((a[:-2] << 16 | a[1:-1] << 8 | a[2:]) * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64)
+    letter = ((a >= 97) & (a <= 122)) | (a >= 128)
+    got = (((a[:-2] << 16 | a[1:-1] << 8 | a[2:]) * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64)
+    return got[letter[:-2] | letter[1:-1] | letter[2:]]
 
 
 def fit(texts: DataFrame, languages: tuple[str, ...] = LANGUAGES, per_language: int = 2000) -> np.ndarray:
@@ -84,15 +87,18 @@ def evidence(rows: DataFrame, key: str, text: Column, declared: Column, suffix:
 
 
 def fuse(found: DataFrame, key: str, languages: tuple[str, ...] = LANGUAGES, least: float = 0.5) -> DataFrame:
-    """key, lang, posterior, declared, accepted. Rows without any text unit are decided by the other evidence, and not
-    accepted; nor are rows whose best posterior is under `least`. Ties go to the first language in order."""
-    found = cut(found)
-    n = len(languages)
+    """key, lang, posterior, declared, accepted. lang is the best of the languages; its posterior is among these and the class
+    of other texts. Rows without any text unit are decided by the other evidence, and not accepted; nor are rows whose best
+    posterior is under `least`. Ties go to the other texts, then to the first language in order."""
+    other = len(languages)
+    alike = float(np.float32(-BITS * np.log(2)))  # as precise as the model
+    found = cut(found).withColumn(f"t{other}", F.col("units") * alike / (1 + F.col("units") / TEMPER))
+    n = other + 1
     ts = [F.col(f"t{j}") for j in range(n)]
     best = F.greatest(*ts)
-    top = None
-    for j in range(n):
-        top = F.when(ts[j] == best, j) if top is None else top.when(ts[j] == best, j)
+    top = F.when(ts[other] == best, other)
+    for j in range(other):
+        top = top.when(ts[j] == best, j)
     seen = found.where("units > 0").withColumn("top", top)
     counts = lambda name: [F.sum((F.col("top") == j).cast("double")).alias(f"{name}{j}") for j in range(n)]
     whole = seen.agg(*counts("g")).first()
@@ -116,11 +122,12 @@ def fuse(found: DataFrame, key: str, languages: tuple[str, ...] = LANGUAGES, lea
             trust = F.when(F.col("declared") == value, float(np.log(((r[f"s{j}"] or 0.0) + 1.0) / (g[j] + len(languages) + 1)))).otherwise(trust)
         logs.append(F.col(f"t{j}") + F.coalesce(f"p{j}", F.lit(float(np.log(base[j])))) + F.coalesce(f"x{j}", F.lit(0.0)) + trust)
     out = out.select(key, "declared", "units", *[x.alias(f"l{j}") for j, x in enumerate(logs)])
-    most = F.greatest(*[F.col(f"l{j}") for j in range(n)])
+    best = F.greatest(*[F.col(f"l{j}") for j in range(other)]) if other > 1 else F.col("l0")
+    most = F.greatest(best, F.col(f"l{other}"))
     lang = None
-    for j in range(n):
-        lang = F.when(F.col(f"l{j}") == most, languages[j]) if lang is None else lang.when(F.col(f"l{j}") == most, languages[j])
-    share = 1 / sum((F.exp(F.col(f"l{j}") - most) for j in range(1, n)), F.exp(F.col("l0") - most))
+    for j in range(other):
+        lang = F.when(F.col(f"l{j}") == best, languages[j]) if lang is None else lang.when(F.col(f"l{j}") == best, languages[j])
+    share = F.exp(best - most) / sum((F.exp(F.col(f"l{j}") - most) for j in range(1, n)), F.exp(F.col("l0") - most))
     return out.select(key, lang.alias("lang"), share.alias("posterior"), "declared", ((F.col("units") > 0) & (share >= least)).alias("accepted"))
 
 

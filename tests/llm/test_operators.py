@@ -153,6 +153,21 @@ def test_languages(spark):
     assert [got[i].accepted for i in (1, 2, 3, 4)] == [True, True, False, False]
 
 
+def test_text_in_none_of_the_languages_is_not_accepted(spark):
+    words = {"en": ["the", "house", "with", "water", "think", "other", "right", "morning"], "de": ["und", "nicht", "schule", "zwischen", "gegen", "wasser", "haus", "immer"]}
+    train = [(100 * k + i, " ".join(RNG.choice(words[x]) for _ in range(200)), x) for k, x in enumerate(words) for i in range(30)]
+    own = [(1, "the other house with water"), (2, "nicht immer zwischen haus und schule"), (3, "water 12 + the 7 morning!")]
+    rest = ["Москва является столицей России", "北京是中华人民共和国的首都", "Wszyscy ludzie rodzą się wolni i równi", "a3f09c7be2d4418f" * 9, "!@#$%^&*(){}[]<>?/|~ " * 20, "12345 67890 3.14 " * 20, "aGVsbG8gd29ybGQhIFRoaXMgaXMgYmFzZTY0Lg" * 5]
+    docs = [*own, *((10 + i, t * k) for k in (1, 4) for i, t in enumerate(rest, 10 * k))]
+    rows = [(i, t, "en", "src") for i, t in docs] + [(1000 + i, t, x, "src") for i, t, x in train]
+    model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"), ("de", "en"))
+    got = {r.doc_id: r for r in langid.identify_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), model, ("de", "en")).collect()}
+    assert [(got[i].lang, got[i].accepted) for i in (1, 2, 3)] == [("en", True), ("de", True), ("en", True)]
+    assert [i for i, _ in docs[3:] if got[i].accepted] == [] and all(got[1000 + i].accepted for i, *_ in train)
+    bare = langid.fit(spark.createDataFrame([], "doc_id long, text string, lang string"), ("de", "en"))
+    assert langid.identify_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), bare, ("de", "en")).where("accepted").count() == 0
+
+
 def test_licenses(spark):
     docs = [(1, "Words here. Released under the MIT License.\nMore words."), (2, "Licensed under the Apache License, Version 2.0."), (3, "A license to hunt wild geese was sold to him at the market yesterday."), (4, None), (5, "")]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
