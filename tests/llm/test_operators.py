@@ -224,6 +224,16 @@ def test_urls(spark):
     assert urlfilter.Segmenter({"free": 9, "bets": 9, "fre": 1}).split("freebets") == ["free", "bets"]
 
 
+def test_urls_are_split_by_the_counts_of_all_words(spark):
+    common = " ".join(f"{a}{b}{c}x " * 4 for a in "bcdfghjklm" for b in "aeiouyw" for c in "bcdfghjklmnpqrst")  # 1,120 words
+    texts = [(i, "http://h.example.fr/", f"<p>{common.translate({120: 96 + i})}") for i in range(1, 23)]  # and 21 like it
+    pages = spark.createDataFrame([*texts, (50, "http://essex.example.fr/", "<p>essex es essex sex es sex sex es sex es")], "page_id long, url string, html string")
+    counts = urlfilter.word_counts(pages, "html")
+    assert counts.count() > 20_000 and counts.where("w = 'essex'").first().n == 2
+    got = {r.page_id: r.verdict for r in urlfilter.judge(pages, counts).collect()}
+    assert got[50] == "allow" and len(got) == 23
+
+
 def page(i, body):
     return f"<html><head><title>T{i}</title><style>p{{}}</style></head><body><nav><a>Home</a></nav><div class='ad'>Buy {i}</div>{body}<footer>&copy; site</footer></body></html>"
 
