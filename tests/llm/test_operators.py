@@ -234,6 +234,12 @@ def test_urls_are_split_by_the_counts_of_all_words(spark):
     assert got[50] == "allow" and len(got) == 23
 
 
+def test_urls_with_long_names_are_split(spark):
+    urls = [f"http://h.example.fr/{'freebetscasinobonus' * n}" for n in (13, 14, 2000)]
+    got = urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), {"the": 90}).orderBy("page_id").collect()
+    assert [r.verdict for r in got] == ["block"] * 3
+
+
 def page(i, body):
     return f"<html><head><title>T{i}</title><style>p{{}}</style></head><body><nav><a>Home</a></nav><div class='ad'>Buy {i}</div>{body}<footer>&copy; site</footer></body></html>"
 
