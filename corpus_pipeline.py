@@ -1,8 +1,8 @@
 """Cleaning of a training corpus in five stages, each on all that the one before has kept.
 
-toxicity and language ID drop the documents they reject, near-dedup keeps the smallest id of each group, decontamination
-drops documents that hold a window of a benchmark item, packing returns the pieces of what is left. The first four return
-the columns of documents; rows with a null doc_id pass near-dedup and decontamination, which name documents by their id.
+toxicity and language ID drop the documents they reject, near-dedup keeps the row of the smallest id of each group,
+decontamination drops documents that hold a window of a benchmark item, packing returns the pieces of what is left. The
+first four return the columns of documents. Rows are judged and dropped each for itself, also where a doc_id is null or repeats.
 """
 
 from __future__ import annotations
@@ -14,9 +14,22 @@ from tessera.llm import decontaminate, langid, neardup, packing, toxicity
 from tessera.llm.common import cut, table
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but those whose id is in gone(doc_id), which is written first so that its true size decides on the join."""
-    return docs.join(cut(gone.where("doc_id is not null").distinct()), "doc_id", "left_anti").select(*docs.columns)
+KEY = "_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of its own for each row, written so that it stays the same."""
+    return cut(docs.withColumn(KEY, F.monotonically_increasing_id()))
+
+
+def _named(keyed: DataFrame) -> DataFrame:
+    """For operators, which name documents by their id: the key as doc_id."""
+    return keyed.withColumn("doc_id", F.col(KEY)).drop(KEY)
+
+
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of keyed, without the key, but those in gone, keys which are written first so that their true number decides on the join."""
+    return keyed.join(cut(gone.toDF(KEY).distinct()), KEY, "left_anti").drop(KEY)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,17 +37,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_foreign(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = langid.identify_documents(docs, langid.fit(docs))
-    return _without(docs, judged.where("not accepted").select("doc_id"))
+    keyed = _keyed(docs)
+    judged = langid.identify_documents(_named(keyed), langid.fit(docs))
+    return _without(keyed, judged.where("not accepted").select("doc_id"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, neardup.near_duplicates(docs, percent=80).where("not kept").select("doc_id"))
+    keyed = _keyed(docs)
+    found = neardup.near_duplicates(_named(keyed), percent=80).select(F.col("doc_id").alias(KEY), "component_id")
+    rows = keyed.select(KEY, F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), KEY).alias("place"))
+    found = cut(found.join(rows, KEY))
+    first = found.groupBy("component_id").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return _without(keyed, found.join(first, "component_id").where(f"{KEY} != first.{KEY}").select(KEY))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated").select("doc_id"))
+    keyed = _keyed(docs)
+    found = decontaminate.decontaminate(_named(keyed), table(spark, sf_dir, "benchmark"))
+    return _without(keyed, found.where("contaminated").select("doc_id"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def fit(texts: DataFrame, languages: tuple[str, ...] = LANGUAGES, per_language:
     the smallest id hashes. Rows whose language is null or not asked for are ignored; without rows all buckets weigh alike."""
     ids = None
     for lang in languages:
-        one = texts.where(F.col("lang") == lang).select(F.col("doc_id").alias("id"), F.lit(languages.index(lang)).alias("l")).orderBy(F.xxhash64("id"), "id").limit(per_language)
+        one = texts.where(F.col("lang") == lang).select(F.col("doc_id").alias("id"), "lang", F.lit(languages.index(lang)).alias("l")).orderBy(F.xxhash64("id"), "id").limit(per_language)
         ids = one if ids is None else ids.unionByName(one)
 
     def run(batches):
@@ -52,7 +52,7 @@ def fit(texts: DataFrame, languages: tuple[str, ...] = LANGUAGES, per_language:
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), lang, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["l", "bucket", "n"])
 
-    rows = texts.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "id")  # ids: at most languages * per_language rows
+    rows = texts.select(F.col("doc_id").alias("id"), "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), ["id", "lang"])  # ids: at most languages * per_language rows
     got = rows.select("l", "text").mapInArrow(tidy(run), "l int, bucket int, n double").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full((len(languages), 1 << BITS), 0.05)
     np.add.at(counts, (got.column("l").to_numpy(), got.column("bucket").to_numpy()), got.column("n").to_numpy())
