@@ -113,14 +113,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
     return with_a.select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component) of every id that occurs in links (a, b): alternating large-star and small-star until nothing changes."""
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(id, component) of every id that occurs in links (a, b): alternating large-star and small-star until nothing changes.
+    Raises an error where `rounds`, if given, are too few for that."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     stat = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = stat(edges)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    done = 0
+    while before[0]:
+        if done == rounds:
+            raise RuntimeError(f"components not settled in {rounds} rounds")
+        done += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()

@@ -66,6 +66,13 @@ def test_components_by_large_and_small_star(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100}
 
 
+def test_components_never_end_unsettled(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        neardup.components(chain, rounds=1)
+    assert neardup.components(chain, rounds=20).select("component").distinct().collect() == [(0,)]
+
+
 @pytest.mark.parametrize("limit", [1 << 25, 0])
 def test_decontamination_matches_brute_force(spark, limit):
     items = [(i, text(n)) for i, n in enumerate([30, 12, 10, 7, 3, 1, 25])] + [(7, None), (8, "")]
