@@ -11,10 +11,10 @@ sequence and offset; ranks come from counts per input task, so no length, howeve
 from __future__ import annotations
 
 import heapq
-import os
-import re
+import json
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,103 +23,80 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, tune
-from .textkernels import HELD, tidy
-
-#: The tightest rule on both sides: neither neighbour of the blank is white space under any library's reading.
-_BLANK = re.compile("(?<=[^\\s\u180e]) (?=[^\\s\u180e])")
-#: White space other than the blank and the newline, and their runs: texts with these are cut by the rule above.
-_OTHER = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"] + ["\u180e"]
-_RUNS = ["  ", "\n\n", " \n", "\n "]
-#: Chunks that a worker's cache holds, both generations together: some 200 bytes each.
-CHUNKS = 2_000_000
-
-
-def _chunks(text: str) -> list[str]:
-    """The text cut before each blank (left out) and each newline (kept) that stands alone between visible characters."""
-    if text[:1] in " \n" or text[-1:] in " \n" or any(x in text for x in _RUNS) or any(x in text for x in _OTHER):
-        return _BLANK.split(text)
-    return text.replace("\n", " \n").split(" ")
-
-
-class ChunkEncoder:
-    """Token ids of texts as little-endian 32-bit bytes, by `tokenizers`, with a bounded cache of blank-led chunks: of two
-    generations, what the newer one hasn't used when it is full goes with the older.
-
-    In byte-level BPE a token never spans a single blank between two visible characters, other than by starting with it,
-    so chunks cut there encode alike wherever they stand. Chunks with other white space are encoded as they are.
+from .textkernels import tidy
+
+#: Fixed values of byte-level vocabularies: how texts are cut before merging, and the bytes that stand for themselves.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+
+
+def _ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]] | None:
+    """The tokens of a plain byte-level BPE file as bytes, with their ids, and its special tokens; None for files of any
+    other kind, or whose ids do not grow in the order of the merges."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+    odd = [spec.get("normalizer"), spec.get("truncation"), spec.get("padding"), spec.get("post_processor"), *(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))]
+    if model.get("type") != "BPE" or any(odd) or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return None
+    added = spec.get("added_tokens") or []
+    if any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        return None
+    special = {x["content"]: x["id"] for x in added}
+    hidden = [b for b in range(256) if b not in SHOWN]
+    byte = {chr(b): b for b in SHOWN} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    tokens = {t: i for t, i in model["vocab"].items() if t not in special}
+    if None in merged or merged != sorted(set(merged)) or not all(c in byte for t in tokens for c in t):
+        return None
+    ranks = {bytes(byte[c] for c in t): i for t, i in tokens.items()}
+    return (ranks, special) if all(bytes([b]) in ranks for b in range(256)) else None
+
+
+class Encoder:
+    """Token ids of texts as little-endian 32-bit bytes, as the library `tokenizers` gives them.
+
+    With fast, a plain byte-level file is run by tiktoken, which needs a third of the time for the same ids.
     """
 
-    def __init__(self, path: str, limit: int = CHUNKS):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
+    def __init__(self, path: str, fast: bool):
         from tokenizers import Tokenizer
 
-        self.t = Tokenizer.from_file(path)
-        self.t.no_truncation()
-        self.t.no_padding()
-        vocab = self.t.get_vocab(with_added_tokens=True)
-        self.led = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        for token, i in vocab.items():
-            self.led[i] = token.startswith("Ġ")
-        self.special = [x.content for x in self.t.get_added_tokens_decoder().values()]
-        self.limit, self.seen, self.old, self.marks = limit // 2, {}, {}, {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.asarray(self.t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, missing: list[str]) -> None:
-        """A chunk is encoded as it stands after a blank; one that starts with a newline, as it is.
-
-        Letters followed by one punctuation mark are two tokens' worth of text: only letters not met before are encoded.
-        """
-        marked = [c for c in missing if c[-1:] in ",.;:!?" and c[:-1].isalpha()]
-        if marked:
-            for mark in {c[-1] for c in marked}:
-                self.marks.setdefault(mark, self._ids(mark))
-            stems = {c[:-1] for c in marked}
-            whole = set(marked)
-            self._learn([c for c in {*stems, *missing} - whole if c not in self.seen])
-            self.seen.update((c, self.seen[c[:-1]] + self.marks[c[-1]]) for c in marked)
-            return
-        plain = [c for c in missing if c and not any(x in c for x in "\n ") and not any(x in c for x in _OTHER)]
-        parts = [plain[at : at + 64] for at in range(0, len(plain), 64)]
-        for part, e in zip(parts, self.t.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)):
-            ids = np.asarray(e.ids, dtype="<u4")
-            cuts = np.flatnonzero(self.led[ids])
-            if len(cuts) == len(part):
-                cuts = [*(cuts * 4).tolist(), len(ids) * 4]
-                raw = ids.tobytes()
-                self.seen.update((c, raw[a:b]) for c, a, b in zip(part, cuts, cuts[1:]))
-            else:
-                self.seen.update((c, self._ids(" " + c)) for c in part)
-        if len(plain) < len(missing):
-            plain = set(plain)
-            rest = [c for c in missing if c not in plain]
-            self.seen.update(zip(rest, (np.asarray(e.ids, dtype="<u4").tobytes() for e in self.t.encode_batch_fast([c if c[:1] == "\n" else " " + c for c in rest], add_special_tokens=False))))
+        plain = _ranks(path) if fast else None
+        if plain:
+            import tiktoken
+
+            self.ranked = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=plain[0], special_tokens=plain[1])
+        else:
+            self.ranked = None
+            self.whole = Tokenizer.from_file(path)
+            self.whole.no_truncation()
+            self.whole.no_padding()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        # a special token takes the blanks around it as it finds them: no cutting there
-        cut_up = [t if any(s in t for s in self.special) else _chunks(t) for t in (t or "" for t in texts)]
-        words = {c for p in cut_up if isinstance(p, list) for c in p[1:]}
-        missing = [c for c in words if c not in self.seen]
-        self.seen.update((c, self.old[c]) for c in missing if c in self.old)
-        missing = [c for c in missing if c not in self.seen]
-        if len(self.seen) + len(missing) > self.limit:
-            self.old = self.seen
-            self.seen = {c: self.old[c] for c in words if c in self.old}
-        self._learn(missing)
-        get = self.seen.__getitem__
-        heads = [p if isinstance(p, str) else p[0] for p in cut_up]
-        heads = [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.t.encode_batch_fast(heads, add_special_tokens=False)]
-        return [h if isinstance(p, str) else h + b"".join(map(get, p[1:])) for h, p in zip(heads, cut_up)]
+        if self.ranked:
+            return [self.ranked.encode_to_numpy(t or "", allowed_special="all").astype("<u4", copy=False).tobytes() for t in texts]
+        found = (self.whole.encode(t or "", add_special_tokens=False).ids for t in texts)
+        return [np.asarray(ids, dtype="<u4").tobytes() for ids in found]
+
+
+@lru_cache
+def alike(path: str) -> bool:
+    """Whether the fast way gives the ids of `tokenizers` for every token of the file on its own; on the driver, once."""
+    plain = _ranks(path)
+    if not plain:
+        return False
+    texts = [t.decode() for t in plain[0] if t == t.decode("utf-8", "ignore").encode()]
+    return Encoder(path, True).encode(texts) == Encoder(path, False).encode(texts)
 
 
-_encoders: dict[tuple[str, int], ChunkEncoder] = HELD.setdefault("packing", {})
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def _encoder(path: str, limit: int = CHUNKS) -> ChunkEncoder:
-    if (path, limit) not in _encoders:
-        _encoders[path, limit] = ChunkEncoder(path, limit)
-    return _encoders[path, limit]
+def _encoder(path: str, fast: bool) -> Encoder:
+    if (path, fast) not in _encoders:
+        _encoders[path, fast] = Encoder(path, fast)
+    return _encoders[path, fast]
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -195,43 +172,42 @@ def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, in
     return segments, bins
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, eos: int = 2, chunks: int = CHUNKS) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, eos: int = 2) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, task, rank): one row per piece; rank counts pieces of a length in the task."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
-    end = np.array([eos], dtype="<u4").tobytes()
+    end, fast = np.array([eos], dtype="<u4").tobytes(), alike(tokenizer)
 
     def run(batches):
         task, seen = TaskContext.get().partitionId(), Counter()
+        encoder = _encoder(tokenizer, fast)
         for b in batches:
             rows = []
-            for doc, raw in zip(b.column(0).to_pylist(), _encoder(tokenizer, chunks).encode(b.column(1).to_pylist())):
-                raw += end
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                raw = encoder.encode([text.as_py()])[0] + end
                 n = len(raw) // 4
-                start, size = 0, n % capacity or min(n, capacity)
-                piece = 0
+                start, size, piece = 0, n % capacity or min(n, capacity), 0
                 while start < n:
                     rows.append((doc, piece, start, size, zlib.crc32(raw[4 * start : 4 * (start + size)]), task, seen[size]))
                     seen[size] += 1
                     start, size, piece = start + size, capacity, piece + 1
             cols = list(zip(*rows)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
-        _encoder(tokenizer, chunks).old = {}
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run, "packing"), schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), schema)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, eos: int = 2, chunks: int = CHUNKS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, eos: int = 2) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text is the single end token. Repeated rows are packed each; a null doc_id stays null. An empty table
-    gives no rows. Other columns of docs are ignored, whatever their names. chunks bounds
-    the workers' caches of encoded words; it changes no result.
+    A null or empty text is the single end token. Texts of any length are encoded whole, one at a time. Ties in length are
+    placed by the order of the input tasks. Repeated rows are packed each; a null doc_id stays null. An empty table gives
+    no rows. Other columns of docs are ignored, whatever their names.
     """
     import public_tokenizers
 
     spark = docs.sparkSession
     tune(spark)
-    pieces = cut(tokenize_pieces(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), capacity, eos, chunks))
+    pieces = cut(tokenize_pieces(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), capacity, eos))
     per_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     totals = {r.length: r.n for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     segments, _ = plan_bins(totals, capacity)

@@ -21,8 +21,6 @@ _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
 _MULT = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=U64)
 _powers: dict[str, np.ndarray] = {}
-#: What operators keep in a worker between tasks, by operator.
-HELD: dict[str, dict] = {}
 #: Bytes of text hashed at a time: the work arrays take some 40 bytes for each.
 _AT_ONCE = 1 << 20
 
@@ -47,23 +45,39 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
+def slices(raw: bytes, sep: np.ndarray):
+    """A long text in parts of about _AT_ONCE bytes that begin and end between words; a word is never cut."""
+    at = 0
+    while len(raw) - at > 2 * _AT_ONCE:
+        end = at + _AT_ONCE
+        while end < len(raw):
+            gaps = np.flatnonzero(sep[np.frombuffer(raw, dtype=np.uint8, count=min(_AT_ONCE, len(raw) - end), offset=end)])
+            if len(gaps):
+                end += int(gaps[0])
+                break
+            end = min(len(raw), end + _AT_ONCE)
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
+
+
 def hash_words(texts: list[str | None], sep: np.ndarray = SPACE, prefix: int = 0) -> tuple:
     """Hashes of all lower-cased words of the texts and the first word of each text: words[first[i]:first[i+1]] are those of text i.
 
     prefix > 0 gives also hashes of each word's first so many bytes (0 for words not longer than that).
     """
-    runs, held, size = [], [], 0
-    for t in texts:
-        held.append((t or "").encode("utf-8", "surrogatepass").translate(LOWER))
-        size += len(held[-1])
-        if size >= _AT_ONCE:
-            runs.append(_hash_parts(held, sep, prefix))
-            held, size = [], 0
+    runs, held, size, owner = [], [], 0, []
+    for i, t in enumerate(texts):
+        for part in slices((t or "").encode("utf-8", "surrogatepass").translate(LOWER), sep):
+            held.append(part)
+            owner.append(i)
+            size += len(part)
+            if size >= _AT_ONCE:
+                runs.append(_hash_parts(held, sep, prefix))
+                held, size = [], 0
     runs.append(_hash_parts(held, sep, prefix))
-    if len(runs) == 1:
-        return runs[0]
-    before = np.cumsum([0, *(len(r[0]) for r in runs)])
-    first = np.concatenate([*(r[1][:-1] + at for r, at in zip(runs, before)), before[-1:]])
+    counts = np.bincount(np.array(owner, dtype=np.int64), weights=np.concatenate([np.diff(r[1]) for r in runs])[: len(owner)], minlength=len(texts)) if owner else np.zeros(0)
+    first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     return (np.concatenate([r[0] for r in runs]), first, *([np.concatenate([r[2] for r in runs])] if prefix else []))
 
 
@@ -127,12 +141,8 @@ def sequence_hash(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
     return out[0], out[1]
 
 
-def begin(owner: str | None) -> None:
-    """At the start of a task: drop what other operators keep in this worker, and have glibc return large blocks at once
-    and share two arenas among threads."""
-    for name, kept in HELD.items():
-        if name != owner:
-            kept.clear()
+def begin() -> None:
+    """At the start of a task: have glibc return large blocks at once and share two arenas among threads."""
     try:
         libc = ctypes.CDLL(None)
         for option, value in ((-8, 2), (-3, 1 << 20), (-1, 1 << 20)):  # arenas, mmap threshold, trim threshold
@@ -151,12 +161,12 @@ def release() -> None:
         pass
 
 
-def tidy(run: Callable, owner: str | None = None) -> Callable:
+def tidy(run: Callable) -> Callable:
     """run, a function of Arrow batches, between begin and release: a worker lives on through later stages, next to a JVM
     that needs the room. Both are named here, not written out: a nested function travels with copies of module globals."""
 
     def out(batches):
-        begin(owner)
+        begin()
         yield from run(batches)
         release()
 
