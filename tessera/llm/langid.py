@@ -1,9 +1,10 @@
 """Language ID by Bayesian evidence fusion: text likelihood x declared language x address suffix x host prior.
 
 The text model is multinomial over hashed byte trigrams that hold a letter. Text in none of the languages is a class of its
-own, with all trigrams alike: a language must explain a text better than that. How far declarations and suffixes can be trusted, and which
-languages hosts publish in, is counted over all rows by grouped aggregation, with the text's own verdict as the class;
-host priors shrink to their domain's, domains' to the whole table's.
+own, with all trigrams alike: a language must explain a text better than that. How far declarations and suffixes can be
+trusted, and which languages hosts publish in, is counted over all rows by grouped aggregation, with the verdict of each
+row's text as its class; host priors shrink to their domain's, domains' to the whole table's. What a row's text says is
+left out of the counts that judge this row, so that no evidence counts twice.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, tune
-from .textkernels import LOWER, tidy
+from .textkernels import LOWER, SPACE, slices, tidy
 
 LANGUAGES = ("de", "en", "es", "fr")
 BITS = 16
@@ -23,15 +24,23 @@ TEMPER = 200.0
 SHRINK = 10.0
 
 
+def trigram_slices(text: str | None):
+    """Buckets of the text's trigrams that hold a letter, a slice of a long text at a time."""
+    tail = b" "
+    for part in slices((text or "").encode("utf-8", "surrogatepass").translate(LOWER), SPACE):
+        words = b" ".join(part.split())
+        if words:
+            raw = tail + words + b" "
+            tail = raw[-2:]
+            a = np.frombuffer(raw, dtype=np.uint8).astype(np.uint32)
+            a = np.where((a >= 48) & (a <= 57), 48, a)
+            letter = ((a >= 97) & (a <= 122)) | (a >= 128)
+            got = (((a[:-2] << 16 | a[1:-1] << 8 | a[2:]) * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64)
+            yield got[letter[:-2] | letter[1:-1] | letter[2:]]
+
+
 def trigrams(text: str | None) -> np.ndarray:
-    raw = b" ".join((text or "").encode("utf-8", "surrogatepass").translate(LOWER).split())
-    if not raw:
-        return np.zeros(0, dtype=np.int64)
-    a = np.frombuffer(b" " + raw + b" ", dtype=np.uint8).astype(np.uint32)
-    a = np.where((a >= 48) & (a <= 57), 48, a)
-    letter = ((a >= 97) & (a <= 122)) | (a >= 128)
-    got = (((a[:-2] << 16 | a[1:-1] << 8 | a[2:]) * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64)
-    return got[letter[:-2] | letter[1:-1] | letter[2:]]
+    return np.concatenate([np.zeros(0, dtype=np.int64), *trigram_slices(text)])
 
 
 def fit(texts: DataFrame, languages: tuple[str, ...] = LANGUAGES, per_language: int = 2000) -> np.ndarray:
@@ -47,7 +56,8 @@ def fit(texts: DataFrame, languages: tuple[str, ...] = LANGUAGES, per_language:
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 seen.setdefault(lang, np.zeros(1 << BITS))
-                seen[lang] += np.bincount(trigrams(text), minlength=1 << BITS)
+                for g in trigram_slices(text):
+                    seen[lang] += np.bincount(g, minlength=1 << BITS)
         for lang, counts in seen.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), lang, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["l", "bucket", "n"])
@@ -71,10 +81,10 @@ def evidence(rows: DataFrame, key: str, text: Column, declared: Column, suffix:
         for b in batches:
             out, units = np.zeros((b.num_rows, n)), np.zeros(b.num_rows, dtype=np.int64)
             for i, text in enumerate(b.column(1).to_pylist()):
-                g = trigrams(tags.sub(" ", text) if strip_markup and text else text)
-                units[i] = len(g)
-                if len(g):
-                    out[i] = model[:, g].sum(axis=1, dtype=np.float64) / (1 + len(g) / TEMPER)
+                for g in trigram_slices(tags.sub(" ", text) if strip_markup and text else text):
+                    units[i] += len(g)
+                    out[i] += model[:, g].sum(axis=1, dtype=np.float64)
+                out[i] /= 1 + units[i] / TEMPER
             yield pa.RecordBatch.from_arrays([b.column(0), *[b.column(i) for i in (2, 3, 4)], pa.array(units), *[pa.array(np.ascontiguousarray(out[:, j])) for j in range(n)]], [key, "declared", "suffix", "host", "units", *[f"t{j}" for j in range(n)]])
 
     two = F.lower(F.substring(F.coalesce(declared.cast("string"), F.lit("")), 1, 2))
@@ -99,28 +109,33 @@ def fuse(found: DataFrame, key: str, languages: tuple[str, ...] = LANGUAGES, lea
     top = F.when(ts[other] == best, other)
     for j in range(other):
         top = top.when(ts[j] == best, j)
-    seen = found.where("units > 0").withColumn("top", top)
+    found = found.withColumn("top", F.when(F.col("units") > 0, top))
+    seen = found.where("units > 0")
     counts = lambda name: [F.sum((F.col("top") == j).cast("double")).alias(f"{name}{j}") for j in range(n)]
     whole = seen.agg(*counts("g")).first()
-    g = [(whole[j] or 0.0) + 1.0 for j in range(n)]
-    base = [x / sum(g) for x in g]
+    own = [F.coalesce((F.col("top") == j).cast("double"), F.lit(0.0)) for j in range(n)]
     # two levels: hosts sum up to domains, so the rows are read once
     hosts = seen.groupBy("host", "domain").agg(*counts("h"))
     domains = hosts.groupBy("domain").agg(*[F.sum(f"h{j}").alias(f"d{j}") for j in range(n)])
-    prior = hosts.join(domains, "domain")
-    total = lambda c: sum((F.col(f"{c}{j}") for j in range(1, n)), F.col(f"{c}0"))
-    by_domain = [(F.col(f"d{j}") + SHRINK * base[j]) / (total("d") + SHRINK) for j in range(n)]
-    prior = prior.select("host", *[F.log((F.col(f"h{j}") + SHRINK * by_domain[j]) / (total("h") + SHRINK)).alias(f"p{j}") for j in range(n)])
+    prior = hosts.join(domains, "domain").drop("domain")
     said = {r["declared"]: r for r in seen.groupBy("declared").agg(*counts("s")).collect()}  # at most languages + 2 rows
-    suffix = seen.groupBy("suffix").agg(*counts("s"))
-    suffix = suffix.select("suffix", *[F.log((F.col(f"s{j}") + 1.0) / (g[j] + 1.0)).alias(f"x{j}") for j in range(n)])
+    suffix = seen.groupBy("suffix").agg(*counts("x"))
     out = found.join(prior, "host", "left").join(suffix, "suffix", "left")
+    # every count below is without the row's own verdict
+    rest = lambda c: [F.coalesce(F.col(f"{c}{j}"), F.lit(0.0)) - own[j] for j in range(n)]
+    add = lambda cs: sum(cs[1:], cs[0])
+    g = [(whole[j] or 0.0) - own[j] for j in range(n)]
+    base = [(x + 1.0) / (add(g) + n) for x in g]
+    d, h, x = rest("d"), rest("h"), rest("x")
+    by_domain = [(d[j] + SHRINK * base[j]) / (add(d) + SHRINK) for j in range(n)]
+    by_host = [(h[j] + SHRINK * by_domain[j]) / (add(h) + SHRINK) for j in range(n)]
     logs = []
     for j in range(n):
         trust = F.lit(0.0)
         for value, r in said.items():
-            trust = F.when(F.col("declared") == value, float(np.log(((r[f"s{j}"] or 0.0) + 1.0) / (g[j] + len(languages) + 1)))).otherwise(trust)
-        logs.append(F.col(f"t{j}") + F.coalesce(f"p{j}", F.lit(float(np.log(base[j])))) + F.coalesce(f"x{j}", F.lit(0.0)) + trust)
+            trust = F.when(F.col("declared") == value, F.log(((r[f"s{j}"] or 0.0) - own[j] + 1.0) / (g[j] + len(languages) + 2.0))).otherwise(trust)
+        tied = F.when(F.col(f"x{j}").isNotNull(), F.log((x[j] + 1.0) / (g[j] + 2.0))).otherwise(F.lit(0.0))
+        logs.append(F.col(f"t{j}") + F.log(by_host[j]) + tied + trust)
     out = out.select(key, "declared", "units", *[x.alias(f"l{j}") for j, x in enumerate(logs)])
     best = F.greatest(*[F.col(f"l{j}") for j in range(other)]) if other > 1 else F.col("l0")
     most = F.greatest(best, F.col(f"l{other}"))
@@ -133,7 +148,8 @@ def fuse(found: DataFrame, key: str, languages: tuple[str, ...] = LANGUAGES, lea
 
 def identify_pages(pages: DataFrame, model: np.ndarray, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """page_id, lang, posterior, declared, accepted for each row of pages(page_id, url, html, ...). Null urls have no host
-    and no suffix, null or empty html has no text and isn't accepted; repeated rows are judged each. Extra columns are ignored."""
+    and no suffix, null or empty html has no text and isn't accepted; repeated rows are judged each. Very long texts are
+    read whole, a slice at a time. An empty table gives no rows. Extra columns are ignored. Ties as in fuse."""
     tune(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"://([^/?#:]*)", 1))
     return fuse(evidence(pages, "page_id", F.col("html"), F.regexp_extract(F.coalesce(F.col("html").cast("string"), F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2})", 1), F.regexp_extract(host, r"\.([^.]+)$", 1), host, model, languages, True), "page_id", languages)
@@ -141,6 +157,6 @@ def identify_pages(pages: DataFrame, model: np.ndarray, languages: tuple[str, ..
 
 def identify_documents(docs: DataFrame, model: np.ndarray, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """doc_id, lang, posterior, declared, accepted for each row of docs(doc_id, text, lang, source, ...): the lang column is
-    what is declared, the source stands for the host. Nulls, empty texts and repeats as in identify_pages."""
+    what is declared, the source stands for the host. Nulls, empty and long texts, ties, repeats and empty tables as in identify_pages."""
     tune(docs.sparkSession)
     return fuse(evidence(docs, "doc_id", F.col("text"), F.col("lang"), F.lit(None), F.col("source"), model, languages), "doc_id", languages)
