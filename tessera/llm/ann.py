@@ -2,8 +2,11 @@
 
 Equal vectors collapse to one before indexing. Each shard's graph is grown in batches: beam searches from the entry point
 propose neighbours, relaxed distance pruning (alpha) keeps diverse ones, back edges are pruned alike. A query walks the
-graph of every shard by beam search, in blocks of queries; its best from all shards are merged. Distances for the graph
-are Euclidean after the usual extension that turns the largest inner product into the smallest distance.
+graph of every shard by beam search; its best from all shards are merged. Shards grow with the square root of the rows,
+from `shard` to `largest` vectors, and queries come to a shard in blocks of some thousands: an index is copied once a block.
+So both the walks a query takes and the copies of an index grow more slowly than the table, until shards are at their
+largest. Distances for the graph are Euclidean after the usual extension that turns the largest inner product into the
+smallest distance.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, tune
 
-DEGREE, BEAM, ALPHA, SHARD, QUERIES = 32, 64, 1.2, 4096, 1024
+DEGREE, BEAM, ALPHA, SHARD, LARGEST, QUERIES = 32, 64, 1.2, 4096, 65536, 8192
 
 
 def _walk(x: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,13 +141,14 @@ def _valid(df: DataFrame) -> DataFrame:
     return df.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ok)
 
 
-def search(table: DataFrame, k: int = 20, every: int = 20, shard: int = SHARD, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, queries: int = QUERIES) -> DataFrame:
+def search(table: DataFrame, k: int = 20, every: int = 20, shard: int = SHARD, largest: int = LARGEST, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, queries: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k largest inner products found for each row whose vec_id is divisible by
     `every`, itself left out; ties go to the smaller vec_id, all candidates come where there are fewer than k.
 
     Vectors that are null, zero, or hold null or non-finite components take no part; nor do null ids. Vectors of another
     length than the first index apart: they neither find nor are found by others. Rows that repeat an id and vector count
-    once. Extra columns of table(vec_id, embedding, ...) are ignored.
+    once. Vectors are used whole, however long. An empty table gives no rows. Extra columns of table(vec_id, embedding, ...)
+    are ignored.
     """
     spark = table.sparkSession
     tune(spark)
@@ -162,9 +166,12 @@ def search(table: DataFrame, k: int = 20, every: int = 20, shard: int = SHARD, d
     uniq = salted.groupBy("vh", "vh2").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"), F.first("embedding").alias("embedding"))
     uniq = cut(uniq.withColumn("dim", F.size("embedding")).withColumn("own", F.monotonically_increasing_id()))
     dims = uniq.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)).alias("m"))
-    dims = dims.withColumn("shards", F.ceil(F.col("n") / shard).cast("int"))
-    sized = uniq.join(F.broadcast(dims) if dims.count() <= 4096 else dims, "dim")
+    size = F.least(F.lit(float(largest)), F.greatest(F.lit(float(shard)), F.ceil(16 * F.sqrt("n"))))
+    dims = cut(dims.withColumn("shards", F.ceil(F.col("n") / size).cast("int")))
+    kinds, shards = dims.agg(F.count("*"), F.sum("shards")).first()
+    sized = uniq.join(F.broadcast(dims) if kinds <= 4096 else dims, "dim")
     parts = sized.withColumn("shard", F.pmod(F.xxhash64("vh", "vh2"), F.col("shards")).cast("int"))
+    parts = parts.repartition(min(100_000, 4 * (shards or 1)), "dim", "shard")  # few shards share a task
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["embedding"].to_numpy()).astype(np.float32)
