@@ -18,7 +18,8 @@ RANGE_BYTES, FANOUT, FILE_RECORDS = 1 << 16, 16, 256
 
 def as_records(pages: DataFrame) -> DataFrame:
     """WARC records (file, offset, length, payload) of pages(page_id, url, html): FILE_RECORDS ids to a file, in order of id.
-    Null ids go to files by the hash of their content; null urls and html count as empty."""
+    Null ids go to 4,096 files by the hash of their content, which grow with their number; null urls and html count as
+    empty. Repeated rows are records each. An empty table gives no records; extra columns are ignored."""
     url, html = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("url", "html"))
     file = F.coalesce(F.concat(F.lit("part-"), F.floor(F.col("page_id") / FILE_RECORDS).cast("string")), F.concat(F.lit("none-"), F.substring(F.md5(F.concat(url, html)), 1, 3)))
     body = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"), html, F.lit("\r\n\r\n"))
@@ -36,7 +37,8 @@ def leaves(records: DataFrame) -> DataFrame:
 
 
 class Tree:
-    """Levels from the leaves' ranges up; nodes are (key columns, digest). All levels are made by grouping the one below."""
+    """Levels from the leaves' ranges up; nodes are (key columns, digest). Each level is made by grouping the one below and
+    written once: the descent reads nodes, not records."""
 
     def __init__(self, leaf: DataFrame, heights: tuple[int, int], range_bytes: int, fanout: int):
         self.leaf = leaf.withColumn("r", F.floor(F.col("offset") / range_bytes).cast("long"))
@@ -51,7 +53,7 @@ class Tree:
 
     @staticmethod
     def _up(df: DataFrame, keys: list[str], child: Column) -> DataFrame:
-        return df.groupBy(*keys).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(child))), 256).alias("digest"))
+        return cut(df.groupBy(*keys).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(child))), 256).alias("digest")))
 
 
 def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> DataFrame:
@@ -59,7 +61,9 @@ def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES
     differ. status: corrupt, missing (from the replica) or extra. Equal replicas, two empty ones among them, give no rows.
 
     Null payloads count as empty, null files as "", null offsets as -1. A file's ranges hold range_bytes / record length
-    records each, and a node `fanout` children, so no group grows with the data. Extra columns are ignored.
+    records each, and a node `fanout` children, so no group of a tree grows with the data. Records that share a place count
+    as one (see leaves), so repeated rows and ties in offset have one digest in any order. Very long payloads are hashed
+    whole. Extra columns are ignored.
     """
     tune(primary.sparkSession)
     a, b = cut(leaves(primary)), cut(leaves(replica))
