@@ -65,6 +65,14 @@ def _positions(families: list[tuple[int, int, int]]) -> Column:
     return out
 
 
+def _shifts(at: Column) -> Column:
+    """The distinct differences between places in the document and places iq in the item. One place of the item is taken at
+    a time, so that repeated words, which match everywhere, need no more room than there are differences."""
+    # the places are bound to a variable first: within the inner function they would be found anew for each q
+    bound = F.transform(F.array(at), lambda ps: F.aggregate("iq", F.array().cast("array<int>"), lambda have, q: F.array_union(have, F.transform(ps, lambda p: p - q))))
+    return F.get(bound, F.lit(0))
+
+
 def _spans(d: DataFrame) -> DataFrame:
     """Beside the words w of a document: the words iw of an item that match it when moved by d. Adds `found`: the positions
     in the document of all words in runs of at least f equal ones."""
@@ -125,7 +133,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         none = F.array().cast("array<int>")
         y = x.withColumn("f0", F.col("f") == 0)
         y = y.withColumn("iq", F.when(F.col("f0"), F.array(F.lit(0))).otherwise(F.col("iq"))).withColumn("iw", F.when(F.col("f0"), F.array().cast("array<string>")).otherwise(F.col("iw")))
-        shift = F.when(F.col("f0"), F.array(F.lit(0))).otherwise(F.array_distinct(F.flatten(F.transform(_positions(families), lambda p: F.transform(F.col("iq"), lambda q: p - q)))))
+        shift = F.when(F.col("f0"), F.array(F.lit(0))).otherwise(_shifts(_positions(families)))
         found = _spans(y.withColumn("d", F.explode_outer(shift)).where("d is not null"))
         found = found.select(*keys, F.when(F.col("f0"), F.size("w")).alias("n"), F.when(F.col("f0"), none).otherwise(F.col("found")).alias("found"), "item_id")
     else:
@@ -134,7 +142,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         near = near.select(F.col("doc_id").alias("k0"), F.col("th").alias("k1"), F.col("fps").alias("hit_fps"))
         y = d.drop("fps").join(near, F.col("doc_id").eqNullSafe(F.col("k0")) & (F.col("th") == F.col("k1"))).withColumn("x", F.explode_outer("hit_fps")).select("*", "x.f", "x.fp")
         y = y.join(marks, (F.col("f") == F.col("mf")) & (F.col("fp") == F.col("mfp")))
-        shift = F.array_distinct(F.flatten(F.transform(_positions(families), lambda p: F.transform(F.col("iq"), lambda q: p - q))))
+        shift = _shifts(_positions(families))
         hits = _spans(y.withColumn("d", F.explode_outer(shift)).where("d is not null")).select(*keys, F.lit(None).cast("int").alias("n"), "found", "item_id")
         found = hits.unionByName(d.select(*keys, F.size("w").alias("n"), F.array().cast("array<int>").alias("found"), F.lit(None).cast("string").alias("item_id")))
     return _report(found, keys)
