@@ -1,6 +1,7 @@
 """The ten operators against brute force on small fixtures with nulls, empty and long texts, ties, repeats and extra columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -60,6 +61,25 @@ def test_near_duplicates_match_brute_force(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    a, b, c = (text(30) for _ in range(3))
+    rows = [(3, a), (7, a), (7, b), (9, b), (11, c), (11, c), (12, None), (7, "")]
+    got = sorted(map(tuple, neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).select("doc_id", "component_id", "kept").collect()))
+    assert got == sorted([(3, 3, True), (7, 3, False), (7, 3, False), (9, 3, False), (11, 11, True), (11, 11, True), (12, 12, True), (7, 7, True)])
+
+
+def test_buckets_are_searched_for_what_the_smallest_ids_miss(spark):
+    # chains of versions: neighbours are alike, the ends are not
+    words = [f"w{i}" for i in range(400)]
+    rows = [(100 * k + i, " ".join(f"{k}{w}" for w in words[2 * i : 2 * i + 100])) for k in range(3) for i in range(40)]
+    order = RNG.sample(range(1000), len(rows))
+    rows = [(o, t) for o, (_, t) in zip(order, rows)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+    for k in range(3):
+        own = order[40 * k : 40 * k + 40]
+        assert {got[i] for i in own} == {min(own)}
+
+
 def test_components_by_large_and_small_star(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = {r.id: r.component for r in neardup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -127,6 +147,17 @@ def test_packing_gives_whole_documents_back(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_both_ways_of_encoding_agree():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.alike(path) and not packing.alike(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(4)
+    points = [c for c in range(0x3100) if not 0xD800 <= c < 0xE000] + [rng.randrange(0x10000, 0x110000) for _ in range(3000)]
+    texts = [f"a{chr(c)}a 1{chr(c)}1 {chr(c)}{chr(c)}\n{chr(c)}'s  {chr(c)}" for c in points]
+    texts += ["", None, "<|endoftext|>", " a <|endoftext|>\n<|endoftext|> b", " " * 200_000, "x" * 20_000, "\n" * 5000 + "a", "ab " * 100_000]
+    fast, plain = packing.Encoder(path, True), packing.Encoder(path, False)
+    assert fast.ranked and fast.encode(texts) == plain.encode(texts)
+
+
 def test_plan_pairs_large_pieces():
     segments, bins = packing.plan_bins({600: 2, 424: 2, 400: 3, 100: 2}, 1024)
     assert bins == 4 and sum(high - low for _, low, high, *_ in segments) == 9
@@ -160,6 +191,42 @@ def test_languages(spark):
     assert [got[i].accepted for i in (1, 2, 3, 4)] == [True, True, False, False]
 
 
+def test_evidence_is_fused_without_a_row_judging_itself(spark):
+    rng, langs = random.Random(2), ("de", "en")
+    rows = []
+    for i in range(40):
+        units = rng.choice([0, 5, 60])
+        rows.append((i, rng.choice(["de", "en", "none", "other"]), rng.choice(["", "de", "com"]), rng.choice(["a.x.de", "b.x.de", "c.y.com", ""]), units, *(units * (rng.random() * 2 - 11.5) for _ in langs)))
+    rows = [(*r[:4], r[4], *r[5:], ".".join(r[3].split(".")[-2:])) for r in rows]
+    found = spark.createDataFrame(rows, "page_id long, declared string, suffix string, host string, units long, t0 double, t1 double, domain string")
+    got = {r.page_id: r for r in langid.fuse(found, "page_id", langs).collect()}
+    alike = float(np.float32(-langid.BITS * np.log(2)))
+    data = [dict(zip(("id", "declared", "suffix", "host", "units", "t0", "t1", "domain"), r)) for r in rows]
+    for d in data:
+        d["t"] = [d["t0"], d["t1"], d["units"] * alike / (1 + d["units"] / langid.TEMPER)]
+        d["top"] = max(range(3), key=lambda j: (d["t"][j], j == 2, -j)) if d["units"] else None
+    for d in data:
+        rest = [x for x in data if x["units"] and x is not d]
+        n = lambda j, **k: sum(x["top"] == j and all(x[a] == b for a, b in k.items()) for x in rest)
+        s = langid.SHRINK
+        logs = []
+        for j in range(3):
+            base = (n(j) + 1) / (len(rest) + 3)
+            known = any(x["host"] == d["host"] for x in data if x["units"])
+            dom = lambda i: n(i, domain=d["domain"]) if known else 0
+            by_domain = (dom(j) + s * base) / (sum(dom(i) for i in range(3)) + s)
+            own = lambda i: n(i, host=d["host"])
+            by_host = (own(j) + s * by_domain) / (sum(own(i) for i in range(3)) + s)
+            tied = any(x["suffix"] == d["suffix"] for x in data if x["units"])
+            said = any(x["declared"] == d["declared"] for x in data if x["units"])
+            logs.append(d["t"][j] + math.log(by_host) + (math.log((n(j, suffix=d["suffix"]) + 1) / (n(j) + 2)) if tied else 0) + (math.log((n(j, declared=d["declared"]) + 1) / (n(j) + 4)) if said else 0))
+        best = max(logs[:2])
+        share = math.exp(best - max(logs)) / sum(math.exp(x - max(logs)) for x in logs)
+        r = got[d["id"]]
+        assert abs(r.posterior - share) < 1e-6 and r.accepted == (d["units"] > 0 and share >= 0.5)
+        assert r.lang == langs[logs.index(best)] or abs(logs[0] - logs[1]) < 1e-9
+
+
 def test_text_in_none_of_the_languages_is_not_accepted(spark):
     words = {"en": ["the", "house", "with", "water", "think", "other", "right", "morning"], "de": ["und", "nicht", "schule", "zwischen", "gegen", "wasser", "haus", "immer"]}
     train = [(100 * k + i, " ".join(RNG.choice(words[x]) for _ in range(200)), x) for k, x in enumerate(words) for i in range(30)]
@@ -175,6 +242,10 @@ def test_text_in_none_of_the_languages_is_not_accepted(spark):
     assert langid.identify_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), bare, ("de", "en")).where("accepted").count() == 0
 
 
+def notices(text):
+    return [(x[0], x[2]) for x in licenses.Scanner(licenses.TEMPLATES).notices(licenses.bare(text))]
+
+
 def test_licenses(spark):
     docs = [(1, "Words here. Released under the MIT License.\nMore words."), (2, "Licensed under the Apache License, Version 2.0."), (3, "A license to hunt wild geese was sold to him at the market yesterday."), (4, None), (5, "")]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
@@ -182,11 +253,52 @@ def test_licenses(spark):
     assert got[3].n_blocks == 1 and got[5].n_blocks == 0
     s = licenses.Scanner(licenses.TEMPLATES)
     for name, t in licenses.TEMPLATES.items():
-        assert s.rank(t)[0][1] == name and s.judge(t)[2]
+        own = t.replace("{}", "work")
+        assert s.rank(own)[0][1] == name and notices(own) == [(name, True)]
+    d = spark.createDataFrame([(1, f"{licenses.TEMPLATES['MIT']} This book is licensed under the GNU General Public License, version 5.")], "doc_id long, text string")
+    assert [(r.template, r.confirmed, r.lacks, r.adds) for r in licenses.found(d).collect()] == [("MIT", True, "", ""), ("GPL-2.0", False, "2", "")]  # of the two versions, alike in all else, the first by name
+
+
+def test_licenses_are_confirmed_by_exact_wording():
+    assert notices("This work is licensed under the GNU General Public License, version 2.") == [("GPL-2.0", True)]
+    assert notices("This work is not licensed under the GNU General Public License, version 3.") == [("GPL-3.0", False)]
+    for text in ("Not licensed under CC BY-NC 4.0.", "It isn't released under the MIT License.", "Released under the new MIT License.", "Licensed under the Apache License, Version 1.1."):
+        assert [x[1] for x in notices(text)] == [False]
+    assert notices("This is not ours. Released under the MIT Licence.") == [("MIT", True)]
+    assert notices("Licensed under the Apache License, Version 2.0. Released under the MIT License.") == [("Apache-2.0", True), ("MIT", True)]
+    lines = ["Permission is hereby granted, free of charge, to any person obtaining a copy", "of this software and associated documentation files (the \"Software\"), to deal", "in the Software without restriction, including"]
+    for lead in ("", "# ", " * ", "// "):
+        assert notices("\n".join(lead + x for x in lines)) == [("MIT-notice", True)]
+
+
+def test_licenses_match_a_search_for_the_wording(spark):
+    rng, docs = random.Random(8), []
+    ways = {n: t.replace("{}", "page") for n, t in licenses.TEMPLATES.items()}
+    for i in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            t = ways[rng.choice(sorted(ways))]
+            w = t.split()
+            kind = rng.randint(0, 4)
+            if kind == 1:
+                w[rng.randrange(len(w))] = "goose"
+            elif kind == 2:
+                w.insert(rng.randint(1, len(w) - 1), "wild")
+            elif kind == 3:
+                w = [x.upper() + ("\n" if rng.random() < 0.3 else "") for x in w]
+            parts += [" ".join(w), text(rng.randint(0, 30)) + "."]
+        docs.append((i, " ".join(parts)))
+    word = lambda t: re.findall(r"[^\W_]+(?:[.\-][^\W_]+)*", t.lower())
+    got = {r.doc_id: set(r.licenses.split(",")) - {""} for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    longer = {"Apache-2.0": "Apache-2.0-notice"}  # the long notice begins with the short one
+    for i, t in docs:
+        w = f" {' '.join(word(t))} "
+        want = {n for n, x in ways.items() if re.search(" " + " ".join(r"\S+" if y == "page" and "{}" in licenses.TEMPLATES[n] else re.escape(y) for y in word(x)) + " ", w)}
+        assert got[i] - set(longer) == want - set(longer) and got[i] <= want, t
 
 
 def test_licenses_finds_every_notice_of_a_block(spark):
-    t = licenses.TEMPLATES
+    t = {n: x.replace("{}", "work") for n, x in licenses.TEMPLATES.items()}
     six = ["MIT", "CC-BY-NC-4.0", "GPL-3.0", "BSD", "CC-BY-SA-4.0", "Apache-2.0-notice"]
     long = "the licensed geese " + text(600)
     docs = [(1, f"{t['MIT']} {t['CC-BY-NC-4.0']}"), (2, " ".join(t[n] for n in six)), (3, f"{text(40)} released under the MIT License."), (4, f"{long} {t['ISC']} and {long}")]
@@ -247,6 +359,59 @@ def test_urls_with_long_names_are_split(spark):
     assert [r.verdict for r in got] == ["block"] * 3
 
 
+def test_urls_parse_as_in_sql(spark):
+    import duckdb
+
+    at = "/root/testdata/sf0.01/pages.parquet"
+    rest = "regexp_replace(url, '^.*?://', '', 's')"
+    sql = f"""with p as (select page_id, case when contains(url, '://') then translate(regexp_extract({rest}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
+      case when contains(url, '://') then regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) else '' end as path from '{at}'),
+    r as (select * from (values ('com', '/en/', 'com/en/', 'block'), ('example.com', '/en/7', 'example.com/en/7', 'allow'), ('net', '/de/', 'net/de/', 'block'), ('example.net', '/de/8', 'example.net/de/8', 'allow'), ('org', '/es/', 'org/es/', 'block')) t(h, s, rule, verdict))
+    select page_id, host, path, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict from p left join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, s) group by all"""
+    want = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
+    pages = spark.read.parquet(at)
+    got = urlfilter.judge(pages, {"the": 90}).collect()
+    assert len(got) == len(want) == pages.count()
+    for r in got:
+        host, path, rule, verdict = want[r.page_id]
+        assert (r.host, r.path, r.rule) == (host, path, rule) and (rule is None or r.verdict == verdict)
+
+
+def test_urls_are_scored_by_what_rules_judge(spark):
+    bad, good = ["bingo", "spin", "loot"], ["river", "stone", "field"]
+    urls = [f"http://{RNG.choice(bad)}{RNG.choice(bad)}{i}.com/en/{RNG.choice(good)}" for i in range(40)] + [f"http://{RNG.choice(good)}{RNG.choice(good)}{i}.example.com/en/7" for i in range(40)]
+    new = ["http://spinloot.example.fr/", "http://riverfield.example.fr/stone", "http://unseen.example.fr/"]
+    pages = spark.createDataFrame(list(enumerate(urls + new)), "page_id long, url string")
+    counts = {w: 50 for w in [*bad, *good, "example", "en"]}
+    got = {r.page_id: r for r in urlfilter.judge(pages, counts, examples=([], []), prior=0.5).collect()}
+    # brute force
+    seg = urlfilter.Segmenter(counts)
+    tokens = {u: [t for n in urlfilter.names_of(*urlfilter.split_url(u)) for t in seg.split(n)] for u in urls + new}
+    judged = [(u, got[i].rule is not None and got[i].verdict) for i, u in enumerate(urls)]
+    n = {v: {} for v in ("block", "allow")}
+    for u, v in judged:
+        for t in tokens[u]:
+            n[v][t] = n[v].get(t, 0) + 1
+    known = set(n["block"]) | set(n["allow"])
+    for i, u in enumerate(urls + new):
+        s = sum(math.log((n["block"].get(t, 0) + 1) / (sum(n["block"].values()) + len(known)) * (sum(n["allow"].values()) + len(known)) / (n["allow"].get(t, 0) + 1)) for t in tokens[u] if t in known)
+        assert abs(got[i].score - 1 / (1 + math.exp(-s))) < 1e-6
+    assert [got[80 + i].verdict for i in range(2)] == ["block", "allow"]
+    held = {r.verdict: (r.n, r.agree) for r in urlfilter.held_out(pages, counts, examples=([], [])).collect()}
+    assert all(agree >= 0.8 * n for n, agree in held.values()) and sum(n for n, _ in held.values()) > 5
+
+
+def test_names_are_split_at_the_least_cost():
+    seg = urlfilter.Segmenter({"ab": 9, "abc": 2, "cd": 5, "d": 1, "a": 3, "bcd": 4})
+
+    def ways(x):
+        return [[]] if not x else [[x[:i], *rest] for i in range(1, len(x) + 1) for rest in ways(x[i:])]
+
+    cost = lambda ws: sum(seg.cost.get(w, seg.unknown(len(w))) for w in ws)
+    for name in ("abcd", "abab", "xabcdx", "dcba", "abcabcd"):
+        assert abs(cost(seg.split(name)) - min(map(cost, ways(name)))) < 1e-9
+
+
 def page(i, body):
     return f"<html><head><title>T{i}</title><style>p{{}}</style></head><body><nav><a>Home</a></nav><div class='ad'>Buy {i}</div>{body}<footer>&copy; site</footer></body></html>"
 
@@ -281,6 +446,38 @@ def test_main_text_by_one_rule_at_every_group_size(n):
     assert got == [*(f"Story {i}" for i in range(n)), "Notes on words", ""]
 
 
+def site(i, n=30):
+    words = " ".join(f"w{i}x{j}" for j in range(n))
+    top, bottom = "<div class=top><a>Home</a><a>All</a></div>", "<div class=bottom>All rights reserved</div>"
+    own = f"<div class=content><h1>Title {i}</h1><div class=body><p>{words}</p><blockquote>q{i}</blockquote><p>end {i}</p></div></div>"
+    return f"<html><body>{top}<div class=wrap><div class=left><p>Hot: x{i}</p></div>{own}</div>{bottom}</body></html>", f"Title {i}\n{words}\nq{i}\nend {i}"
+
+
+@pytest.mark.parametrize("n", [3, 8, 40])
+def test_main_slot_without_article_tags(n):
+    pages = [site(i) for i in range(n)]
+    assert htmlextract.extract([p for p, _ in pages]) == [t for _, t in pages]
+    # two makes of pages on one host
+    other = [f"<body><div class=bar>Menu</div><section><p>{' '.join(f's{i}y{j}' for j in range(20))}</p></section><div class=end>The end</div></body>" for i in range(n)]
+    got = htmlextract.extract([x for p, o in zip(pages, other) for x in (p[0], o)])
+    assert got[::2] == [t for _, t in pages] and got[1::2] == [" ".join(f"s{i}y{j}" for j in range(20)) for i in range(n)]
+
+
+def test_versions_of_one_text_are_no_template():
+    words = lambda k: " ".join(f"p{k}w{j}" for j in range(40))
+    pages = [page(i, "<article>" + "".join(f"<p>{words(k)}</p>" for k in range(9)) + f"<p>version {i}</p></article>") for i in range(8)]
+    assert htmlextract.extract(pages) == ["\n".join([*(words(k) for k in range(9)), f"version {i}"]) for i in range(8)]
+
+
+def test_tags_are_read_by_the_rules_of_html():
+    one = lambda body: htmlextract.extract([f"<article>{body}</article>"])[0]
+    assert one("<p title=it's>Hello</p><p title=it's>World</p>") == "Hello\nWorld"
+    assert one('<p title="open>Hello</p><p>World</p>') == "Hello\nWorld"
+    assert one('<p title="a > b" class=\'x>y\'>a &lt; b&nbsp;&#8212; c</p>') == "a < b \u2014 c"
+    assert one("<div class=search-results><p>kept</p></div><div class='share'>kept too</div>") == "kept\nkept too"
+    assert one("<script>if (a < b) x('</p>')</script><p>a <!-- b --> c</p><br>d 3 < 4") == "a c\nd 3 < 4"
+
+
 def test_fixity(spark):
     rows = [(f"w{i % 3}", (i // 3) * 5000, 5000, f"payload {i}") for i in range(300)]
     a = spark.createDataFrame(rows, "file string, offset long, length long, payload string")
