@@ -45,10 +45,10 @@ def drop_foreign(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = _keyed(docs)
     found = neardup.near_duplicates(_named(keyed), percent=80).select(F.col("doc_id").alias(KEY), "component_id")
-    rows = keyed.select(KEY, F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), KEY).alias("place"))
-    found = cut(found.join(rows, KEY))
-    first = found.groupBy("component_id").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return _without(keyed, found.join(first, "component_id").where(f"{KEY} != first.{KEY}").select(KEY))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), KEY)
+    # only the first of each component is named: no row needs to meet the others of its component
+    first = found.join(keyed.select(KEY, place.alias("place")), KEY).groupBy("component_id").agg(F.min("place").alias("first"))
+    return keyed.join(cut(first.select(F.col(f"first.{KEY}").alias(KEY))), KEY, "left_semi").drop(KEY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, chunks=400_000)  # workers share an executor with what earlier stages left
+    return packing.pack(docs)
 
 
 STAGES = [("toxicity", drop_toxic), ("language_id", drop_foreign), ("near_dedup", drop_copies), ("decontamination", drop_contaminated), ("packing", pack)]
