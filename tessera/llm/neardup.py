@@ -146,11 +146,15 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(roots)
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Members (bucket, comp, ...) once for each pair (i, j) of blocks that they are to meet in. The members of a bucket's
-    largest component meet the others only, which alone meet each other."""
+def _largest(members: DataFrame) -> DataFrame:
+    """(bucket, main, in_main, all): the largest component of each bucket, its members and all of them."""
     size = members.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-    main = size.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("in_main"), F.sum("c").alias("all"))
+    return size.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("in_main"), F.sum("c").alias("all"))
+
+
+def _blocks(members: DataFrame, main: DataFrame) -> DataFrame:
+    """Members (bucket, comp, ...) once for each pair (i, j) of blocks that they are to meet in. The members of a bucket's
+    largest component, by main, meet the others only, which alone meet each other."""
     blocks = members.join(main, "bucket").withColumn("inner", F.col("comp") == F.col("main"))
     parts = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
     blocks = blocks.withColumn("nm", parts(F.col("in_main"))).withColumn("nr", parts(F.col("all") - F.col("in_main")))
@@ -164,7 +168,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     return spread.select("*", "at.i", "at.j").drop("at", "blk", "nm", "nr", "main", "in_main", "all", "inner")
 
 
-def _likely(members: DataFrame, percent: int) -> DataFrame:
+def _likely(members: DataFrame, main: DataFrame, percent: int) -> DataFrame:
     """(bucket, i, j, rep, comp) of the members (bucket, rep, comp, sig) whose signature agrees often enough with that of a
     member of another component in a pair of blocks."""
     least = max(0.0, percent / 100 - SLACK)
@@ -185,7 +189,7 @@ def _likely(members: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["bucket", "i", "j", "rep", "comp"])
 
     # a list holds two blocks: some 512 members
-    grouped = _blocks(members).groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("rep", "comp", "sig")).alias("found"))
+    grouped = _blocks(members, main).groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("rep", "comp", "sig")).alias("found"))
     return grouped.mapInArrow(tidy(run), "bucket long, i int, j int, rep long, comp long").distinct()
 
 
@@ -261,13 +265,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     if not open_.isEmpty():
         left = named.join(open_, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "rep", "comp")
         left = cut(left.join(sigs, "rep"))
-        likely = cut(_likely(left, percent))
+        main = cut(_largest(left))  # a table, so that the members of a large bucket can be split in the join
+        likely = cut(_likely(left, main, percent))
         if not likely.isEmpty():
             more = cut(_across(likely, texts, percent, k))
             if not more.isEmpty():
                 comp = cut(components(links.unionByName(more)))
             forget(more)
-        forget(left, likely)
+        forget(left, main, likely)
     forget(open_, members, texts, links)
     out = rows.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("found", F.coalesce("component", "rep"))
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("found"))).otherwise(F.col("doc_id"))
