@@ -62,12 +62,15 @@ def gift(value: Column) -> Column:
     return F.struct(F.when((F.size(parts) > 1) & more, F.get(rest, F.lit(0))).alias("occasion"), iso_date(parts).alias("date"), text.alias("gift"))
 
 
+SPAN = r"\s+to\s+|\s*[-\u2013\u2014]\s*"  # fixed value: what stands between a start and an end
+
+
 def role(value: Column) -> Column:
     """struct<title, company, start, end, current> of "TITLE at COMPANY (START to END)"; the last " at " splits."""
     raw = F.trim(value)
     span = F.trim(F.regexp_extract(raw, r"\(([^()]*)\)\s*$", 1))
     body = F.trim(F.regexp_replace(raw, r"\s*\([^()]*\)\s*$", ""))
-    cut = F.split(span, r"\s+to\s+|\s*[-–—]\s*")
+    cut = F.split(span, SPAN)
     end = F.when(F.size(cut) > 1, F.trim(F.array_join(F.slice(cut, 2, F.greatest(F.lit(1), F.size(cut))), " "))).otherwise("")
     has = F.lower(body).contains(" at ")
     title = F.when(has, F.trim(F.regexp_extract(body, r"(?is)^(.*) at ", 1))).otherwise("")
@@ -75,6 +78,109 @@ def role(value: Column) -> Column:
     return F.struct(title.alias("title"), company.alias("company"), F.trim(F.get(cut, F.lit(0))).alias("start"), end.alias("end"), F.lower(end).isin(PRESENT).alias("current"))
 
 
+def _text_or_empty(c: Column) -> Column:
+    return F.trim(F.coalesce(c, F.lit("")))
+
+
+def is_present(end: Column) -> Column:
+    return F.lower(_text_or_empty(end)).isin(PRESENT)
+
+
+def format_role(company: Column, title: Column, start: Column, end: Column) -> Column:
+    """"TITLE at COMPANY (START to END)", without the parts that are not known; empty without a company."""
+    c, t, s, e = map(_text_or_empty, (company, title, start, end))
+    span = F.array_join(F.filter(F.array(s, e), lambda x: x != ""), " to ")
+    out = F.concat(F.when(t != "", F.concat(t, F.lit(" at "))).otherwise(""), c, F.when(span != "", F.concat(F.lit(" ("), span, F.lit(")"))).otherwise(""))
+    return F.when(c != "", out).otherwise("")
+
+
+def education(value: Column) -> Column:
+    """struct<school, degree, field, start, end> of a JSON object, or of "DEGREE, SCHOOL (START-END)" where the last comma
+    splits; null without a school, and for JSON that can't be read."""
+    raw = _text_or_empty(value)
+    names = ["school", "degree", "field", "start", "end"]
+    parsed = F.from_json(raw, ", ".join(f"{n} string" for n in names))
+    from_json = F.struct(*[_text_or_empty(parsed[n]).alias(n) for n in names])
+    years = F.trim(F.regexp_extract(raw, r"\(([^()]*)\)\s*$", 1))
+    body = F.trim(F.regexp_replace(raw, r"\s*\([^()]*\)\s*$", ""))
+    cut = F.split(years, SPAN)
+    both = F.size(cut) > 1
+    school = F.trim(F.element_at(F.split(body, ","), -1))
+    degree = F.trim(F.array_join(F.slice(F.split(body, ","), 1, F.greatest(F.lit(0), F.size(F.split(body, ",")) - 1)), ","))
+    end = F.when(both, F.trim(F.array_join(F.slice(cut, 2, F.greatest(F.lit(1), F.size(cut))), " "))).otherwise(years)
+    from_text = F.struct(school.alias("school"), degree.alias("degree"), F.lit("").alias("field"), F.when(both, F.trim(F.get(cut, F.lit(0)))).otherwise("").alias("start"), end.alias("end"))
+    found = F.when(raw.startswith("{"), from_json).otherwise(from_text)
+    return F.when(found["school"] != "", found)
+
+
+def format_education(school: Column, degree: Column, level: Column, field: Column, start: Column, end: Column) -> Column:
+    """The canonical JSON object: keys in a fixed order, without empty ones; empty without a school."""
+    known = lambda c: F.when(_text_or_empty(c) != "", _text_or_empty(c))
+    names = ("school", "degree", "level", "field", "start", "end")
+    out = F.to_json(F.struct(*[known(c).alias(n) for n, c in zip(names, (school, degree, level, field, start, end))]))
+    return F.when(_text_or_empty(school) != "", out).otherwise("")
+
+
+def education_summary(entries: Column) -> Column:
+    """One line of an array of education structs: "DEGREE SCHOOL; ...", each once, whatever its case."""
+    line = lambda e: F.when(e["degree"] != "", F.concat_ws(" ", e["degree"], e["school"])).otherwise(e["school"])
+    lines = F.transform(F.filter(entries, lambda e: e["school"] != ""), line)
+    first = F.filter(lines, lambda x, i: F.size(F.filter(F.slice(lines, 1, i), lambda y: F.lower(y) == F.lower(x))) == 0)
+    return F.array_join(first, "; ")
+
+
+def normalize_date(value: Column) -> Column:
+    """The date at the beginning of a text, or the one that the whole of it names; else null."""
+    v = F.trim(value)
+    forms = ["yyyy/M/d", "M/d/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy"]
+    other = F.coalesce(*[F.try_to_date(v, f) for f in forms]).cast("string")
+    return F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(v, 1, 10)).otherwise(other)
+
+
+def details(value: Column) -> Column:
+    """array<struct<name, value>> of the details of a proposal: a JSON list of {name, value} or a map. Lists of values become
+    an entry each, numbers and truth values texts; nested objects, nulls and blanks go."""
+    listed = F.from_json(value, "array<struct<name: string, value: string>>")
+    mapped = F.transform(F.map_entries(F.from_json(value, "map<string, string>")), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
+    pairs = F.coalesce(F.when(F.trim(value).startswith("["), listed).otherwise(mapped), F.array().cast("array<struct<name: string, value: string>>"))
+    many = lambda v: F.when(F.trim(v).startswith("["), F.coalesce(F.from_json(v, "array<string>"), F.array(v))).otherwise(F.array(v))
+    each = F.flatten(F.transform(pairs, lambda p: F.transform(many(p["value"]), lambda v: F.struct(F.trim(p["name"]).alias("name"), F.trim(v).alias("value")))))
+    return F.filter(each, lambda d: (d["name"] != "") & (d["value"] != "") & ~d["value"].startswith("{"))
+
+
+def detail(entries: Column, name: str) -> Column:
+    """The first value of a name, or null."""
+    return F.get(F.filter(entries, lambda d: d["name"] == name), F.lit(0))["value"]
+
+
+def tombstoned(deleted_at: Column) -> Column:
+    return deleted_at.isNotNull()
+
+
+def superseded(valid_until: Column) -> Column:
+    return valid_until.isNotNull()
+
+
+def fact_window(valid_from: Column, created_at: Column, valid_until: Column) -> Column:
+    """struct<from, from_known, until>: an unknown start falls back to when the fact was first held."""
+    return F.struct(window_start(valid_from, created_at).alias("from"), valid_from.isNotNull().alias("from_known"), valid_until.alias("until"))
+
+
+def normalize_start(start: Column, now: Column) -> Column:
+    """A start in the future, or none, is now."""
+    return F.least(F.coalesce(start, now), now)
+
+
+def close_patch(end: Column, known_start: Column, now: Column) -> dict[str, Column]:
+    """What ends a fact: it is no longer valid, and no longer live."""
+    at = normalize_end(end, known_start, now)
+    return {"valid_until": at, "deleted_at": at}
+
+
+def open_patch(start: Column, now: Column) -> dict[str, Column]:
+    return {"valid_from": normalize_start(start, now)}
+
+
 def window_start(valid_from: Column, created_at: Column) -> Column:
     return F.coalesce(valid_from, created_at)
 

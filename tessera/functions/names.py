@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A small table to start with; callers with a larger one pass it.
-NICKNAMES = [("bill", "william"), ("bob", "robert"), ("dick", "richard"), ("jim", "james"), ("kate", "katherine"), ("liz", "elizabeth"), ("mike", "michael"), ("tom", "thomas")]
+#: A small table of common English ones to start with; callers with a larger one pass it.
+_SHORT = {
+    "alexander": "alex sandy", "andrew": "andy drew", "anthony": "tony", "barbara": "barb", "benjamin": "ben", "catherine": "cathy kate",
+    "charles": "charlie chuck", "christopher": "chris", "daniel": "dan danny", "david": "dave", "deborah": "debbie", "donald": "don",
+    "dorothy": "dot", "edward": "ed eddie ned ted", "elizabeth": "beth betty liz lizzie", "eugene": "gene", "frances": "fran",
+    "frederick": "fred", "gregory": "greg", "henry": "hank harry", "jacob": "jake", "james": "jim jimmy", "jennifer": "jen jenny",
+    "john": "jack johnny", "joseph": "joe", "joshua": "josh", "judith": "judy", "katherine": "kate kathy katie", "kenneth": "ken",
+    "lawrence": "larry", "leonard": "len", "margaret": "maggie meg peggy", "matthew": "matt", "michael": "mick mike", "nathaniel": "nate",
+    "nicholas": "nick", "pamela": "pam", "patricia": "pat patty trish", "patrick": "pat", "peter": "pete", "philip": "phil",
+    "rebecca": "becky", "richard": "dick rich rick", "robert": "bob bobby rob", "ronald": "ron", "samuel": "sam", "stephen": "steve",
+    "steven": "steve", "susan": "sue susie", "theodore": "ted", "thomas": "tom tommy", "timothy": "tim", "victoria": "vicky",
+    "vincent": "vince", "walter": "walt", "william": "bill billy will",
+}
+NICKNAMES = sorted((short, full) for full, shorts in _SHORT.items() for short in shorts.split())
 
 
 def parts(name: Column) -> Column:
@@ -43,8 +55,15 @@ def name_match(a: Column, b: Column, pairs: list[tuple[str, str]] = NICKNAMES) -
     return F.when((la != "") & (la == lb), "exact").when((la != "") & (lb != "") & variant, "variant")
 
 
-def anchors(name: Column) -> Column:
-    """Join keys: names that match share one, as a whole first or last part is equal in both."""
+def anchors(name: Column, pairs: list[tuple[str, str]] = NICKNAMES) -> Column:
+    """Join keys: names that match share one. Either a whole first part is equal in both, and the last parts' initials; or a
+    whole last part, and the first parts' initials, where a nickname also has the initials of what it stands for."""
     p = parts(name)
-    of = lambda mark, part: F.when(F.length(part) > 1, F.concat(F.lit(mark), part))
-    return F.array_compact(F.array(of("f:", F.get(p, F.lit(0))), of("l:", F.element_at(p, -1))))
+    first, last = F.get(p, F.lit(0)), F.element_at(p, -1)
+    other = [F.struct(F.lit(x).alias("x"), F.substring(F.lit(y), 1, 1).alias("i")) for a, b in pairs for x, y in ((a, b), (b, a))]
+    known = F.transform(F.filter(F.array(*other), lambda o: o["x"] == first), lambda o: o["i"]) if other else F.array().cast("array<string>")
+    initials = F.array_distinct(F.concat(F.array(F.substring(first, 1, 1)), known))
+    by_first = F.when((F.length(first) > 1) & (F.size(p) > 1), F.array(F.concat_ws("|", F.lit("f"), first, F.substring(last, 1, 1))))
+    by_last = F.when((F.length(last) > 1) & (F.size(p) > 1), F.transform(initials, lambda i: F.concat_ws("|", F.lit("l"), last, i)))
+    none = F.array().cast("array<string>")
+    return F.concat(F.coalesce(by_first, none), F.coalesce(by_last, none))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import facts as V
+from ..functions import intents as I
 from ..functions import text as T
 from . import lanes
 
@@ -68,4 +73,96 @@ def hybrid(vectors: DataFrame, text_hits: DataFrame, boost: DataFrame | None, qu
     words = text_hits.join(F.broadcast(best), F.col("best") < weak).select("id", "tier")  # best: one row
     content = [lanes.ranked(near, "vector", F.desc("similarity"), F.col("id")), lanes.ranked(words, "keyword", F.col("tier"), F.col("id"))]
     fused = lanes.fuse(content, [boost] if boost is not None else [])
-    return fused.orderBy(F.desc("score"), "id").limit(k)
+    return fused.orderBy(F.desc("score"), "appearance", "id").limit(k).drop("appearance")
+
+
+def vector_recall(nodes: DataFrame, vectors: DataFrame, query: list[float], k: int = 8) -> DataFrame:
+    """(id, display_name, type, similarity): vector search over nodes that are one user's and live, with what they are."""
+    own = vectors.join(nodes.select("id", "display_name", "type"), "id").where(F.col("embedding").isNotNull())
+    scored = own.select("id", "display_name", "type", cosine(F.col("embedding"), query).alias("similarity"))
+    return scored.orderBy(F.desc("similarity"), "id").limit(k)
+
+
+MODES = ("hybrid", "semantic", "keyword")
+
+
+def recall_nodes(store, query: str, k: float = 8, mode: str = "hybrid", *, vectors: DataFrame | None = None, embed: Callable[[str], list[float] | None] | None = None, touches: DataFrame | None = None, near: DataFrame | None = None, now: datetime) -> DataFrame:
+    """(rank, id, display_name, type, similarity, reason, mode, degraded): a question answered from a structured.Store.
+
+    A blank question has no answer. A time phrase is taken out of the question and becomes a lane of who was active then, by
+    touches(node_id, at). Structural hits come first, with similarity 1; then the vector and keyword lanes and the temporal
+    one, fused by reciprocal ranks, to which nearness to recent contacts, near(id, hop, seed_rank), adds. The keyword lane
+    counts where the best similarity is under 0.35. Without an embedding, hybrid falls back to keywords and says so in
+    `degraded`. `mode` names the lanes that rows of the answer have votes of. semantic is the vector lane alone.
+    """
+    from . import structured
+
+    if mode not in MODES:
+        raise ValueError(f"unknown mode: {mode}")
+    spark, k, text = store.nodes.sparkSession, I.clamp_k(k), query.strip()
+    if not text:
+        return spark.createDataFrame([], "rank int, id string, display_name string, type string, similarity double, reason string, mode string, degraded boolean")
+    window = None if mode == "semantic" else I.time_window(text, now)
+    rest = I.strip_time_phrase(text, window) if window else text
+    vector = embed(rest) if embed and rest and mode != "keyword" and vectors is not None else None
+    named = store.nodes.select("id", "display_name", "type")
+    none = named.limit(0).select("id")
+    hits = vector_recall(store.nodes, vectors, vector, k).select("id", "similarity") if vector else none.withColumn("similarity", F.lit(0.0))
+    if mode == "semantic":
+        ranked = lanes.ranked(hits, "semantic", F.desc("similarity"), F.col("id")).drop("lane").join(hits, "id").join(named, "id")
+        return ranked.select(F.col("rank").cast("int"), "id", "display_name", "type", "similarity", F.lit(None).cast("string").alias("reason"), F.lit("semantic").alias("mode"), F.lit(False).alias("degraded"))
+    words = I.keywords(rest)
+    found = keyword(store.nodes, store.details, words, k) if words else none.withColumn("tier", F.lit(0))
+    best = hits.agg(F.coalesce(F.max("similarity"), F.lit(0.0)).alias("best"))
+    weak = found.join(F.broadcast(best), F.col("best") < 0.35).select("id", "tier").orderBy("tier", "id").limit(k)  # best: one row
+    content = ([lanes.ranked(hits, "semantic", F.desc("similarity"), F.col("id"))] if vector else []) + [lanes.ranked(weak, "keyword", F.col("tier"), F.col("id"))]
+    if window and touches is not None:
+        at = lambda t: F.lit(t).cast("timestamp_ntz")
+        active = lanes.temporal(touches, at(window.start), at(window.end)).withColumnRenamed("node_id", "id")
+        content.append(lanes.ranked(active, "temporal", F.desc("n"), F.desc("latest"), F.col("id")))
+    boost = [lanes.ranked(near, "proximity", F.col("hop"), F.col("seed_rank"), F.col("id"))] if near is not None else []
+    fused = lanes.fuse(content, boost).join(named, "id").join(hits, "id", "left")  # the names of one user's live nodes only
+    by_time = F.when((F.col("lanes") == "temporal") | (F.col("lanes") == "proximity+temporal"), F.lit(f'interaction in the window "{window.phrase}"' if window else None))
+    ranked = fused.orderBy(F.desc("score"), "appearance", "id").limit(k).select(F.lit(1).alias("part"), F.struct((-F.col("score")).alias("s"), "appearance").alias("o"), "id", "display_name", "type", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), by_time.cast("string").alias("reason"), "lanes")
+    top = structured.structured_recall(store, rest, k, now.strftime("%Y-%m-%d")) if rest else None
+    if top is not None:
+        carried = ranked.select("id", "lanes")
+        first = top.join(carried, "id", "left").select(F.lit(0).alias("part"), F.struct(F.col("rank").cast("double").alias("s"), F.lit(0).cast("long").alias("appearance")).alias("o"), "id", "display_name", "type", F.lit(1.0).alias("similarity"), "reason", "lanes")
+        ranked = first.unionByName(ranked.join(top.select("id"), "id", "left_anti"))
+    every = Window.partitionBy()  # k rows at most
+    final = ranked.orderBy("part", "o", "id").limit(k)
+    has = lambda lane: F.max(F.array_contains(F.split(F.coalesce("lanes", F.lit("")), r"\+"), lane)).over(every)
+    base = "hybrid" if vector else "keyword"
+    said = F.concat(F.lit(base), F.when(has("temporal"), "+temporal").otherwise(""), F.when(has("proximity"), "+proximity").otherwise(""))
+    no_vectors = F.lit(bool(rest)) if mode == "hybrid" and not vector else F.lit(False)
+    rank = (F.row_number().over(Window.orderBy("part", "o", "id")) - 1).cast("int")
+    return final.select(rank.alias("rank"), "id", "display_name", "type", "similarity", "reason", said.alias("mode"), no_vectors.alias("degraded"))
+
+
+def expand_node(node_id: str, nodes: DataFrame, details: DataFrame, links: DataFrame, link_details: DataFrame, now: Column, as_of: Column | None = None, cap: int = 60) -> dict[str, DataFrame]:
+    """What is known of a node, now or as of an instant: node; details(name, value, source, confirmed) that hold; links by
+    direction with their details that hold, `cap` a direction, and how many more; history(name, value, from, from_known,
+    until, source) of values that have ended, in order of their windows, without those that still held at the instant.
+
+    details(node_id, name, value, valid_from, valid_until, created_at, deleted_at, source, confirmed) and link_details(link_id,
+    ...) hold live and ended rows alike; nodes are looked up among all given, and a node that isn't there has no rows.
+    """
+    at = now if as_of is None else as_of
+    node = nodes.where(F.col("id") == node_id).select("id", "display_name", F.coalesce("type", F.lit("Node")).alias("type"))
+    holds = lambda: V.held_at(at, V.window_start(F.col("valid_from"), F.col("created_at")), F.col("valid_until"), F.col("deleted_at"))
+    own = details.where((F.col("node_id") == node_id) & (F.col("name") != "") & (T.plain(F.col("value")) != "")).join(node.select(F.col("id").alias("node_id")), "node_id")
+    ended = own.where(F.col("valid_until").isNotNull())
+    current = own.where(holds() & (F.col("deleted_at").isNull() | (F.lit(as_of is not None) & F.col("valid_until").isNotNull())))
+    kept = current.select("name", T.plain(F.col("value")).alias("value"), "source", (F.col("valid_until").isNotNull() | F.coalesce("confirmed", F.lit(False))).alias("confirmed"))
+    window = V.fact_window(F.col("valid_from"), F.col("created_at"), F.col("valid_until"))
+    past = ended if as_of is None else ended.where(~holds())
+    history = past.select("name", T.plain(F.col("value")).alias("value"), window.alias("w"), "source").select("name", "value", "w.*", "source").orderBy("from", "name", "value")
+    facts = link_details.where(holds()).groupBy("link_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "name", T.plain(F.col("value"))))), "; ").alias("link_details"))
+    sides = []
+    for way, near, far in (("out", "source", "target"), ("in", "target", "source")):
+        sides.append(links.where(F.col(near) == node_id).select(F.lit(way).alias("direction"), F.col("id").alias("link_id"), "type", F.col(far).alias("other")))
+    both = sides[0].unionByName(sides[1]).join(nodes.select(F.col("id").alias("other"), F.col("display_name").alias("other_name")), "other")
+    of = Window.partitionBy("direction")
+    counted = both.withColumn("n", F.row_number().over(of.orderBy("type", "other", "link_id"))).withColumn("omitted", F.greatest(F.lit(0), F.count("*").over(of) - cap))
+    top = counted.where(F.col("n") <= cap).join(facts, "link_id", "left")
+    return {"node": node, "details": kept, "links": top.select("direction", "link_id", "type", "other", "other_name", F.coalesce("link_details", F.lit("")).alias("link_details"), "omitted"), "history": history, "ended": ended.agg(F.count("*").alias("ended_values"))}

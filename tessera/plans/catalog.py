@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import facts as V
 from ..functions import text as T
-from ..operators import govern, lanes, paths, recall, ties
+from ..operators import govern, lanes, paths, recall, resolve, ties
 from ..sources import seeds
 from ..sources.graph import NOW, Graph, key, now, windows
 
@@ -140,13 +140,13 @@ def _lanes(g: Graph) -> tuple[DataFrame, DataFrame]:
 
 @query(f"select id, round(sum(1.0 / (61 + rank)), 6) as score, string_agg(lane, '+' order by lane) as lanes from (select * from {_LANE_A} union all select * from {_LANE_B}) group by id")
 def rrf_fusion(g: Graph) -> DataFrame:
-    return lanes.fuse(list(_lanes(g))).withColumn("score", F.round("score", 6))
+    return lanes.fuse(list(_lanes(g))).withColumn("score", F.round("score", 6)).drop("appearance")
 
 
 @query(f"select id, round(sum(1.0 / (61 + rank)), 6) as score, string_agg(lane, '+' order by lane) as lanes from (select * from {_LANE_A} union all select * from {_LANE_B} where id in (select id from {_LANE_A})) group by id")
 def rrf_boost(g: Graph) -> DataFrame:
     a, b = _lanes(g)
-    return lanes.fuse([a], [b]).withColumn("score", F.round("score", 6))
+    return lanes.fuse([a], [b]).withColumn("score", F.round("score", 6)).drop("appearance")
 
 
 @query(f"""with v as (select 'E' || vec_id as id, list_cosine_similarity(cast(embedding as double[]), q) as s from embeddings, {_Q0} order by s desc, id limit 8), l as (select id, row_number() over (order by s desc, id) - 1 as rank from v)
@@ -224,11 +224,7 @@ def normalized_name_dedupe(g: Graph) -> DataFrame:
 
 @query(f"""with n as (select distinct {_NORM.format('p_name')} as x from part) select a.x as a, b.x as b, levenshtein(a.x, b.x) as d from n a join n b on a.x < b.x and abs(length(a.x) - length(b.x)) <= 2 where length(a.x) >= 5 and length(b.x) >= 5 and levenshtein(a.x, b.x) <= 2""")
 def fuzzy_name_pairs(g: Graph) -> DataFrame:
-    n = g.table("part").select(T.normalize_for_match(F.col("p_name")).alias("x")).distinct().where(F.length("x") >= 5).withColumn("len", F.length("x"))
-    # distance is at least the difference of lengths: an equi-join on nearby lengths loses nothing
-    a = n.select(F.col("x").alias("a"), F.explode(F.array(*[F.col("len") + i for i in range(-2, 3)])).alias("len"))
-    pair = a.join(n.select(F.col("x").alias("b"), "len"), "len").where("a < b").withColumn("d", F.levenshtein("a", "b", 2))
-    return pair.where("d >= 0").select("a", "b", "d")
+    return resolve.near_names(g.table("part").select(T.normalize_for_match(F.col("p_name")).alias("x")).distinct(), "x")
 
 
 @query("""with n as (select distinct p_name as x, string_split_regex(lower(trim(p_name)), '[^\\p{L}\\p{N}]+') as t from part)
@@ -246,7 +242,7 @@ l3 as (select b as id, min({{'c': round(x.c + step, 9), 'p': list_append(x.p, b)
 l4 as (select b as id, min({{'c': round(x.c + step, 9), 'p': list_append(x.p, b)}}) as x from l3 join e on a = id where id <> 'C2' group by b)
 select x.c as cost, hops, array_to_string(x.p, '>') as path from (select 1 as hops, * from l1 union all select 2, * from l2 union all select 3, * from l3 union all select 4, * from l4) where id = 'C2' order by cost, hops, path limit 1""")
 def connection_path(g: Graph) -> DataFrame:
-    return paths.cheapest(g.links(), ties.strength(ties.signal(g.interactions(), now()), now()), "C1", "C2", 4)
+    return paths.cheapest(g.links(), ties.strength(ties.signal(g.interactions(), now()), now()), "C1", "C2", 4).select("cost", "hops", "path")
 
 
 _PLACES = "(select r_name || '' as vague, n_name || ', ' || r_name as exact_ from nation join region on n_regionkey = r_regionkey)"
@@ -288,11 +284,7 @@ def gift_parse(g: Graph) -> DataFrame:
 @query("""with n as (select distinct p_name as x, list_distinct(list_filter(string_split_regex(lower(p_name), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) as t from part),
 p as (select a.x as a, b.x as b, len(list_intersect(a.t, b.t)) as i, len(a.t) as la, len(b.t) as lb from n a join n b on a.x < b.x) select a, b from p where i >= 2 and (i = least(la, lb) or i / (la + lb - i) >= 0.6)""")
 def near_duplicate_wording(g: Graph) -> DataFrame:
-    n = g.table("part").select(F.col("p_name").alias("x")).distinct()
-    word = n.select("x", F.explode(T.tokens(F.col("x"))).alias("w"))
-    # two texts that are alike share a word: the join on words loses no pair
-    pair = word.select(F.col("x").alias("a"), "w").join(word.select(F.col("x").alias("b"), "w"), "w").where("a < b").select("a", "b").distinct()
-    return pair.where(T.similar_wording(F.col("a"), F.col("b")))
+    return resolve.similar_pairs(g.table("part").select(F.col("p_name").alias("x")).distinct(), "x")
 
 
 @query("select conv_id, turn, role as kind, text as payload from (select *, row_number() over (partition by conv_id order by turn desc) as n from conversations) where n <= 2 order by turn desc, conv_id limit 300")

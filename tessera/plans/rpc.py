@@ -5,13 +5,14 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.intents import clamp_k, keywords
 from ..operators import recall
-from ..sources.graph import Graph
+from ..operators.structured import Store
+from ..sources.graph import NOW, Graph
 
 #: Capability -> (what it does, required arguments).
 READS = {
@@ -33,7 +34,7 @@ NO_METHOD, BAD_PARAMS = -32601, -32602
 
 def capabilities(query: str | None = None) -> list[dict]:
     """All capabilities, or those whose name or description holds one of the query's words."""
-    words = (query or "").lower().split()
+    words = query.lower().split() if isinstance(query, str) else []
     every = [{"name": n, "description": d, "required": r} for n, (d, r) in {**READS, **WRITES}.items()]
     return [c for c in every if not words or any(w in f"{c['name']} {c['description']}".lower() for w in words)]
 
@@ -46,7 +47,8 @@ class Server:
 
     def handle(self, message: dict) -> dict | None:
         """The answer to one message; None for a notification."""
-        method, params = message.get("method") or "", message.get("params") or {}
+        method, params = message.get("method"), message.get("params")
+        method, params = method if isinstance(method, str) else "", params if isinstance(params, dict) else {}
         if method.startswith("notifications/"):
             return None
         reply = {"jsonrpc": "2.0", "id": message.get("id")}
@@ -58,13 +60,15 @@ class Server:
             return reply | {"result": {"tools": [{"name": "search"}, {"name": "execute"}]}}
         if method != "tools/call":
             return reply | {"error": {"code": NO_METHOD, "message": f"Method not found: {method or '(none)'}"}}
-        given = params.get("arguments") or {}
+        given = params.get("arguments")
+        given = given if isinstance(given, dict) else {}
         if params.get("name") == "search":
             return reply | {"result": self._text({"capabilities": capabilities(given.get("query"))})}
         if params.get("name") != "execute":
             return reply | {"error": {"code": BAD_PARAMS, "message": f"Unknown tool: {params.get('name')}"}}
         try:
-            return reply | {"result": self._text(self.execute(given.get("capability"), given.get("args") or {}))}
+            args = given.get("args")
+            return reply | {"result": self._text(self.execute(given.get("capability"), args if isinstance(args, dict) else {}))}
         except (KeyError, ValueError) as e:
             return reply | {"result": self._text(str(e.args[0])) | {"isError": True}}
 
@@ -74,8 +78,11 @@ class Server:
 
     def execute(self, name: str | None, args: dict) -> dict:
         known = {**READS, **WRITES}
-        if name not in known:
+        if not isinstance(name, str) or name not in known:
             raise KeyError(f"Unknown capability: {name}")
+        bad = [a for a in ("query", "name", "type", "node_id") if name in READS and a in args and not isinstance(args[a], str)]
+        if bad:
+            raise ValueError(f"Not a text: {', '.join(bad)}")
         missing = [a for a in known[name][1] if args.get(a) in (None, "")]
         if missing:
             raise ValueError(f"Missing: {', '.join(missing)}")
@@ -90,8 +97,9 @@ class Server:
             nodes = g.nodes().where(F.col("type") == args["type"]) if args.get("type") else g.nodes()
             return {"nodes": recall.by_name(nodes, args["name"])}
         if name == "recallNodes":
-            k = clamp_k(args.get("limit") or 8)
-            return {"nodes": recall.keyword(g.nodes(), g.attributes(), keywords(args["query"])).orderBy("tier", "id").limit(k)}
+            limit = args.get("limit", 8)
+            store = Store(g.nodes(), g.links(), g.attributes(), g.entries())
+            return {"nodes": recall.recall_nodes(store, args["query"], limit if isinstance(limit, (int, float)) else 8, "keyword", touches=g.interactions(), now=datetime.fromisoformat(NOW))}
         own = g.spark.createDataFrame([(args["node_id"],)], "id string")
         return {"details": g.attributes().where(F.col("node_id") == args["node_id"]), "links": recall.expand_links(g.links(), g.nodes(), own)}
 

@@ -77,10 +77,37 @@ class Graph:
     def interactions(self) -> DataFrame:
         return self.table("events").select(key("C", "user_id").alias("node_id"), F.col("ts").alias("at"), "event_type", "value", F.col("event_type").isin("purchase", "signup").alias("genuine"))
 
+    def people(self) -> DataFrame:
+        """Customers of four tenants, some of them deleted or of a satellite cluster."""
+        c = self.table("customer")
+        gone = F.when(F.col("c_acctbal") < 0, F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
+        layer = F.when(F.col("c_custkey") % 10 == 0, "satellite")
+        return c.select(key("C", "c_custkey").alias("id"), F.concat(F.lit("U"), (F.col("c_custkey") % 4).cast("string")).alias("user_id"), F.lit("Person").alias("type"), F.col("c_name").alias("display_name"), gone.alias("deleted_at"), layer.alias("graph_layer"))
+
+    def contacts(self) -> dict[str, DataFrame]:
+        """The sources of contact, split from the events by type: touchpoints, meetings with two attendees, counters, the last
+        contact of each person, and messages; and verdicts on the touchpoints."""
+        e = self.tolerant(self.probe("events", "user_id long, ts timestamp_ntz, event_type string, value double"), "value", "double")
+        of = lambda kind: e.where(F.col("event_type") == kind)
+        who = key("C", "user_id").alias("node_id")
+        return {
+            "interactions": of("purchase").select(who, F.col("ts").alias("at")),
+            "calendar_events": of("signup").select(F.array(key("C", "user_id"), F.concat(F.lit("C"), (F.col("user_id") + 1).cast("string"))).alias("attendees"), F.col("ts").alias("at")),
+            "source_contact_stats": of("view").groupBy(who).agg(F.count("*").alias("volume"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at")),
+            "relationship_status": of("error").groupBy(who).agg(F.max("ts").alias("at")),
+            "imported_messages": of("click").select(who, F.col("ts").alias("at")),
+            "keep_in_touch_verdicts": of("purchase").select(who, (F.col("value") >= 50).alias("genuine")),
+        }
+
     def ledger(self) -> DataFrame:
         o = self.table("orders")
         return o.select(key("O", "o_orderkey").alias("id"), key("C", "o_custkey").alias("node_id"), F.lit("debt").alias("kind"), F.col("o_totalprice").alias("amount"), (F.col("o_orderstatus") != "O").alias("settled"), F.col("o_orderdate").alias("date"), F.when(F.col("o_orderpriority") == "1-URGENT", "owed_by_me").otherwise("owed_to_me").alias("direction"))
 
+    def entries(self) -> DataFrame:
+        """The ledger with every column that questions about it read."""
+        none = lambda kind: F.lit(None).cast(kind)
+        return self.ledger().select("id", "node_id", "kind", F.concat(F.lit("order "), F.col("id")).alias("description"), F.col("amount").cast("double").alias("amount"), F.lit("USD").alias("currency"), "direction", F.col("date").cast("string").alias("date"), "settled", none("timestamp_ntz").alias("deleted_at"))
+
     def queue(self) -> DataFrame:
         return self.table("conversations").select("conv_id", "turn", F.col("role").alias("kind"), F.col("text").alias("payload"))
 
@@ -88,6 +115,29 @@ class Graph:
         return self.table("embeddings").select(F.concat(F.lit("E"), F.col("vec_id").cast("string")).alias("id"), "vec_id", "embedding")
 
 
+def meetings(calendar: DataFrame) -> DataFrame:
+    """(node_id, at): each attendee of each meeting."""
+    return calendar.select(F.explode("attendees").alias("node_id"), "at").where(F.col("node_id").isNotNull())
+
+
+def dated(sources: dict[str, DataFrame]) -> DataFrame:
+    """(node_id, at, kind): the contacts that sources put a date on, for signals."""
+    kind = lambda df, name: df.select("node_id", "at", F.lit(name).alias("kind"))
+    return kind(sources["relationship_status"], "status").unionByName(kind(sources["interactions"], "touch")).unionByName(kind(meetings(sources["calendar_events"]), "meeting"))
+
+
+def touches(sources: dict[str, DataFrame]) -> DataFrame:
+    """(node_id, at): every source of contact, for lanes of who was active when."""
+    counters = sources["source_contact_stats"].select("node_id", F.col("last_at").alias("at"))
+    rest = [sources[n].select("node_id", "at") for n in ("interactions", "relationship_status", "imported_messages")]
+    return reduce(DataFrame.unionByName, [*rest, meetings(sources["calendar_events"]), counters]).where(F.col("node_id").isNotNull())
+
+
+def recent(sources: dict[str, DataFrame]) -> DataFrame:
+    """(node_id, at): the sources that seeds of nearness come from."""
+    return sources["relationship_status"].select("node_id", "at").unionByName(sources["source_contact_stats"].select("node_id", F.col("last_at").alias("at")))
+
+
 def adjacency(links: DataFrame) -> DataFrame:
     """(a, b, type): every link both ways."""
     return links.select(F.col("source").alias("a"), F.col("target").alias("b"), "type").unionByName(links.select(F.col("target").alias("a"), F.col("source").alias("b"), "type"))

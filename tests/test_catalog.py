@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tessera.plans.catalog import QUERIES, SQL
+from tessera.plans.catalog import QUERIES, SQL  # the package registers those of its other modules there
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

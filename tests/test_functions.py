@@ -71,7 +71,7 @@ def test_paths(spark):
     links = spark.createDataFrame([("t", "a", "b"), ("t", "b", "c"), ("t", "a", "d"), ("t", "d", "c"), ("t", "c", "c")], "type string, source string, target string")
     strong = spark.createDataFrame([("d", 1.0)], "node_id string, score double")
     r = paths.cheapest(links, strong, "a", "c").first()
-    assert (r.path, r.hops, r.cost) == ("a>d>c", 2, pytest.approx(2.9))
+    assert (r.path, r.hops, r.cost, r.labels) == ("a>d>c", 2, pytest.approx(2.9), "t>t")
     assert paths.cheapest(links, strong, "a", "zz").count() == 0
     assert paths.cheapest(links, strong, "a", "a").first().hops == 0
 
@@ -86,6 +86,39 @@ def test_supersede_and_journal(spark):
     assert sorted(r.op for r in govern.journal(before, after, ["owner", "name", "value"], "details").collect()) == ["created", "created", "patched"]
 
 
+def test_batches_supersede_once_and_upsert_by_key(spark):
+    cols = "owner string, name string, value string, valid_from timestamp_ntz, valid_until timestamp_ntz, deleted_at timestamp_ntz"
+    before = spark.createDataFrame([("n", "title", "CTO", None, None, None)], cols)
+    twice = spark.createDataFrame([("n", "title", "VP", 1), ("n", "title", "CEO", 2)], "owner string, name string, next string, ord int")
+    after = govern.supersede(before, twice, F.expr("timestamp_ntz'2024-01-31 00:00:00'")).collect()
+    assert sorted((r.value, r.valid_until is None) for r in after) == [("CEO", True), ("CTO", False)]
+    rows = spark.createDataFrame([(None, "a"), (None, "b"), ("k", "c")], "id string, v string")
+    once = govern.upsert(govern.upsert(rows.limit(0), rows, ["id"]), rows, ["id"])
+    assert sorted((r.id or "", r.v) for r in once.collect()) == [("", "b"), ("k", "c")]
+    with pytest.raises(govern.WriteRefused, match="not null: id"):
+        govern.must_write(rows.limit(0), rows, ["id"], ["id"])
+
+
+def test_sources_may_be_missing(spark, tmp_path):
+    from tessera.sources.graph import Graph, touches
+
+    assert touches(Graph(spark, str(tmp_path)).contacts()).count() == 0
+
+
+def test_one_first_name_makes_no_pairs(spark):
+    names = [(f"i{i}", f"anna q{i} x") for i in range(300)] + [("j", "anna q7"), ("k", "Anna Q7 X"), ("l", "bo r"), ("m", "Bo Reed")]
+    got = {tuple(r) for r in paths.bridges(spark.createDataFrame(names, "id string, display_name string")).collect()}
+    assert got == {("i7", "j"), ("i7", "k"), ("j", "k"), ("l", "m")}
+
+
+def test_streams_count_as_tables_do(spark):
+    from tessera.sources.graph import Graph
+    from tessera.streaming import activity
+
+    e = Graph(spark, "/root/testdata/sf0.001").interactions()
+    assert activity.daily_activity(e).agg(F.sum("n")).first()[0] == e.count() == activity.sessions(e).agg(F.sum("n")).first()[0]
+
+
 def test_no_signal_is_zero(spark):
     from tessera.sources.graph import now
 

@@ -37,6 +37,15 @@ def test_reads_and_proposals(server, spark):
     assert (row.kind, row.status, json.loads(row.payload)["display_name"]) == ("proposeCreateNode", "pending", "Ada")
 
 
+def test_recall_and_odd_arguments(server):
+    failed, text = call(server, "recallNodes", query="customer#00000001", limit=2)
+    assert not failed and len(json.loads(text)["nodes"]) == 2
+    assert call(server, "recallNodes", query=7)[0] and not call(server, "recallNodes", query="asia", limit=[1])[0]
+    assert server.handle({"id": 1, "method": 5, "params": "x"})["error"]["code"] == -32601
+    assert "result" in server.handle({"id": 1, "method": "tools/call", "params": {"name": "search", "arguments": {"query": ["x"]}}})
+    assert server.handle({"id": 1, "method": "tools/call", "params": {"name": "execute", "arguments": [1]}})["result"]["isError"]
+
+
 @pytest.mark.parametrize("a, b, want", [
     ("Ann Lee", "ann lee ", "exact"), ("Bill Ray", "William Ray", "variant"), ("W. Ray", "William Ray", "variant"), ("Bill R.", "William Ray", None),
     ("Ann", "Ann Lee", None), ("Ann Kim Lee", "Ann Lee", "variant"), ("Ann Kim Lee", "Ann Jo Lee", None), ("A. L.", "A. Lee", None), ("", "", None), (None, "Ann Lee", None),
