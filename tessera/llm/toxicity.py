@@ -3,8 +3,9 @@
 A linear logistic classifier over hashed words and word beginnings is trained in numpy from confirmed toxic texts and
 unlabelled ones. Its risk is prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)): where the second part would fall below
 zero, which only overfitting brings about, its gradient is turned round. The class prior is counted over all labels of
-the training folds; confirmed texts come from the labels, unlabelled ones from all documents outside the held-out fold, both
-bounded by max_rows. Which features tell the two apart is counted by grouped aggregation over that sample, and only these
+the training folds; confirmed texts and unlabelled ones come from the same labelled rows outside the held-out fold, the latter
+without their labels, as the prior is theirs: toxic texts are rarer among all documents. Both are bounded by max_rows. Which
+features tell the two apart is counted by grouped aggregation over that sample, and only these
 reach the driver. All texts are scored whole.
 """
 
@@ -76,7 +77,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_features: int = 1 << 14) -> tuple[np.ndarray, float]:
-    """(weights by bucket, bias), learnt from labels(doc_id, toxic) of the rows not held out and from unlabelled documents.
+    """(weights by bucket, bias), learnt from labels(doc_id, toxic) of the rows not held out: the toxic ones, and all without
+    their labels.
 
     max_rows bounds the confirmed toxic and the unlabelled texts, max_features the features of each that the driver gets; the
     rows taken are those of the smallest hashes of their ids. Labels that are null or have no text are ignored; of repeated
@@ -92,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_features
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     pos = own.where("toxic > 0").orderBy(*order).limit(max_rows).select("doc_id", F.lit(1).alias("p"))
-    unl = rows.select("doc_id").distinct().orderBy(*order).limit(max_rows).select("doc_id", F.lit(0).alias("p"))
+    unl = own.orderBy(*order).limit(max_rows).select("doc_id", F.lit(0).alias("p"))  # the texts whose class prior is counted
     chosen = F.broadcast(pos.unionByName(unl))  # at most 2 * max_rows ids
 
     def features(batches):
