@@ -123,12 +123,13 @@ def fuse(found: DataFrame, key: str, languages: tuple[str, ...] = LANGUAGES, lea
     out = found.join(prior, "host", "left").join(suffix, "suffix", "left")
     # every count below is without the row's own verdict
     rest = lambda c: [F.coalesce(F.col(f"{c}{j}"), F.lit(0.0)) - own[j] for j in range(n)]
-    add = lambda cs: sum(cs[1:], cs[0])
+    judged = F.when(F.col("top").isNull(), 0.0).otherwise(1.0)
+    total = lambda c: sum((F.coalesce(F.col(f"{c}{j}"), F.lit(0.0)) for j in range(1, n)), F.coalesce(F.col(f"{c}0"), F.lit(0.0))) - judged
     g = [(whole[j] or 0.0) - own[j] for j in range(n)]
-    base = [(x + 1.0) / (add(g) + n) for x in g]
+    base = [(x + 1.0) / (sum(whole[j] or 0.0 for j in range(n)) - judged + n) for x in g]
     d, h, x = rest("d"), rest("h"), rest("x")
-    by_domain = [(d[j] + SHRINK * base[j]) / (add(d) + SHRINK) for j in range(n)]
-    by_host = [(h[j] + SHRINK * by_domain[j]) / (add(h) + SHRINK) for j in range(n)]
+    by_domain = [(d[j] + SHRINK * base[j]) / (total("d") + SHRINK) for j in range(n)]
+    by_host = [(h[j] + SHRINK * by_domain[j]) / (total("h") + SHRINK) for j in range(n)]
     logs = []
     for j in range(n):
         trust = F.lit(0.0)
@@ -136,7 +137,8 @@ def fuse(found: DataFrame, key: str, languages: tuple[str, ...] = LANGUAGES, lea
             trust = F.when(F.col("declared") == value, F.log(((r[f"s{j}"] or 0.0) - own[j] + 1.0) / (g[j] + len(languages) + 2.0))).otherwise(trust)
         tied = F.when(F.col(f"x{j}").isNotNull(), F.log((x[j] + 1.0) / (g[j] + 2.0))).otherwise(F.lit(0.0))
         logs.append(F.col(f"t{j}") + F.log(by_host[j]) + tied + trust)
-    out = out.select(key, "declared", "units", *[x.alias(f"l{j}") for j, x in enumerate(logs)])
+    # a table: a filter on what follows would otherwise hold each sum some forty times, too much code to compile
+    out = cut(out.select(key, "declared", "units", *[x.alias(f"l{j}") for j, x in enumerate(logs)]))
     best = F.greatest(*[F.col(f"l{j}") for j in range(other)]) if other > 1 else F.col("l0")
     most = F.greatest(best, F.col(f"l{other}"))
     lang = None

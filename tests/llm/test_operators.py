@@ -227,6 +227,16 @@ def test_evidence_is_fused_without_a_row_judging_itself(spark):
         assert r.lang == langs[logs.index(best)] or abs(logs[0] - logs[1]) < 1e-9
 
 
+def test_a_filter_on_the_verdict_is_compiled(spark):
+    docs = spark.createDataFrame([(i, "the house by the water", "en", "a") for i in range(4)] + [(9, None, None, "b")], "doc_id long, text string, lang string, source string")
+    spark.conf.set("spark.sql.codegen.fallback", "false")  # an error, not the slow way, where code grows too large
+    try:
+        judged = langid.identify_documents(docs, langid.fit(docs))
+        assert [r.doc_id for r in judged.where("not accepted").select("doc_id").distinct().collect()] == [9]
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
 def test_text_in_none_of_the_languages_is_not_accepted(spark):
     words = {"en": ["the", "house", "with", "water", "think", "other", "right", "morning"], "de": ["und", "nicht", "schule", "zwischen", "gegen", "wasser", "haus", "immer"]}
     train = [(100 * k + i, " ".join(RNG.choice(words[x]) for _ in range(200)), x) for k, x in enumerate(words) for i in range(30)]
