@@ -188,8 +188,8 @@ def _likely(members: DataFrame, main: DataFrame, percent: int) -> DataFrame:
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["bucket", "i", "j", "rep", "comp"])
 
-    # a list holds two blocks: some 512 members
-    grouped = _blocks(members, main).groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("rep", "comp", "sig")).alias("found"))
+    # a list holds two blocks: some 512 members; dealt by all three keys, as the join's by bucket would keep a bucket in one task
+    grouped = _blocks(members, main).repartition("bucket", "i", "j").groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("rep", "comp", "sig")).alias("found"))
     return grouped.mapInArrow(tidy(run), "bucket long, i int, j int, rep long, comp long").distinct()
 
 
