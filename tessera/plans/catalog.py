@@ -125,7 +125,7 @@ def _probe_vector(g: Graph) -> list[float]:
 
 @query(f"select id, round(similarity, 6) as similarity from (select 'E' || vec_id as id, list_cosine_similarity(cast(embedding as double[]), q) as similarity from embeddings, {_Q0}) order by similarity desc, id limit 8")
 def vector_topk(g: Graph) -> DataFrame:
-    return recall.vector_topk(g.vectors(), _probe_vector(g)).withColumn("similarity", F.round("similarity", 6))
+    return recall.vector_topk(g.vectors(), _probe_vector(g), digits=6)  # the SQL's order by is by its rounded column
 
 
 _LANE_A = f"(select 'temporal' as lane, id, row_number() over (order by n desc, latest desc, id) - 1 as rank from (select node_id as id, count(*) as n, max(tm) as latest from {_INTER} where tm >= timestamp '2024-01-10' and tm < timestamp '2024-01-17' group by 1 order by n desc, latest desc, id limit 120))"
