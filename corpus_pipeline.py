@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, langid, neardup, packing, toxicity
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, forget_but, table, written
 
 
 KEY = "_row"
@@ -48,7 +48,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), KEY)
     # only the first of each component is named: no row needs to meet the others of its component
     first = found.join(keyed.select(KEY, place.alias("place")), KEY).groupBy("component_id").agg(F.min("place").alias("first"))
-    return keyed.join(cut(first.select(F.col(f"first.{KEY}").alias(KEY))), KEY, "left_semi").drop(KEY)
+    # the fewer keys decide: texts move only where even those are too many to broadcast
+    return _without(keyed, found.select(KEY).join(first.select(F.col(f"first.{KEY}").alias(KEY)), KEY, "left_anti"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,9 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; of the tables that a stage and those before it wrote, only its result stays."""
+    docs, before = table(spark, sf_dir, "documents"), written()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = cut(docs)
+            forget_but(before, docs)
     return docs

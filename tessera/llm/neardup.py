@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
                 comp = cut(components(links.unionByName(more)))
             forget(more)
         forget(left, main, likely)
-    forget(open_, members, texts, links)
+    forget(open_, members, texts, links, uniq)
     out = rows.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("found", F.coalesce("component", "rep"))
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("found"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
